@@ -47,6 +47,22 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken").withColumnRenamed("id", "doc_id")
 
 
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    from keystrata.llm.leaks import leaks
+
+    return leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "passage")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).select(F.col("id").alias("doc_id"), "item_id").distinct()
+
+
+def p7_removal_spans(spark: SparkSession, sf: str) -> DataFrame:
+    from keystrata.llm.leaks import removal_spans
+
+    return removal_spans(_leaks(spark, sf)).withColumnRenamed("id", "doc_id")
+
+
 _MESSAGE_KEYS = """
   SELECT msg_id, k FROM (
     SELECT msg_id, CASE WHEN key_len IS NULL THEN key
@@ -54,7 +70,7 @@ _MESSAGE_KEYS = """
   WHERE octet_length(k) > 0"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_error_rate, p3_found, p3_counts, p6_ids)
+    f.__name__: f for f in (p1_found, p1_error_rate, p3_found, p3_counts, p6_ids, p7_found, p7_removal_spans)
 }
 SQL: dict[str, str] = {
     "p1_found": f"WITH m AS ({_MESSAGE_KEYS}) SELECT msg_id FROM (SELECT msg_id, min(msg_id) OVER (PARTITION BY k) AS f FROM m) WHERE msg_id > f",
