@@ -41,6 +41,34 @@ def p3_counts(spark: SparkSession, sf: str) -> DataFrame:
     return heavy_hitters(table(spark, sf, "peer_messages"), _key(), HEAVY_SHARE).select(key_hex(F.col("key")).alias("key_hex"), "n")
 
 
+BLOCK_BYTES = 1_048_560
+RECORD_UNIT = 128
+
+
+def record_bytes():
+    """Stored length of a record: 32 + key + value, rounded up to a multiple of 128; null where a part is null or negative."""
+    ok = (F.col("key_len") >= 0) & (F.col("value_len") >= 0)
+    return F.when(ok, F.ceil((F.lit(32) + F.col("key_len") + F.col("value_len")) / RECORD_UNIT) * RECORD_UNIT)
+
+
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    from keystrata.llm.packing import pack
+
+    blocks = table(spark, sf, "wblock_meta").select(
+        F.col("db").alias("grp"), F.concat_ws("/", "file_id", "wblock_id").alias("bin"), F.col("bytes_used").alias("used"))
+    return pack(table(spark, sf, "record_headers"), "record_id", F.col("db"), record_bytes(), BLOCK_BYTES, unit=RECORD_UNIT, open_bins=blocks)
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _packed(spark, sf).where("part = 'full'").select(F.col("id").alias("record_id"))
+
+
+def p5_fill(spark: SparkSession, sf: str) -> DataFrame:
+    from keystrata.llm.packing import packing_fill
+
+    return packing_fill(_packed(spark, sf), BLOCK_BYTES).withColumnRenamed("grp", "db")
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     from keystrata.llm.tokens import encode_corpus
 
@@ -70,9 +98,10 @@ _MESSAGE_KEYS = """
   WHERE octet_length(k) > 0"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_error_rate, p3_found, p3_counts, p6_ids, p7_found, p7_removal_spans)
+    f.__name__: f for f in (p1_found, p1_error_rate, p3_found, p3_counts, p5_found, p5_fill, p6_ids, p7_found, p7_removal_spans)
 }
 SQL: dict[str, str] = {
+    "p5_found": "SELECT record_id FROM record_headers WHERE key_len >= 0 AND value_len >= 0 AND (32 + key_len + value_len + 127) // 128 * 128 > 1048560",
     "p1_found": f"WITH m AS ({_MESSAGE_KEYS}) SELECT msg_id FROM (SELECT msg_id, min(msg_id) OVER (PARTITION BY k) AS f FROM m) WHERE msg_id > f",
     "p3_found": f"WITH m AS ({_MESSAGE_KEYS}) SELECT lower(hex(k)) AS key_hex FROM m GROUP BY k HAVING count(*) >= 0.003 * (SELECT count(*) FROM m)",
     "p3_counts": f"WITH m AS ({_MESSAGE_KEYS}) SELECT lower(hex(k)) AS key_hex, count(*) AS n FROM m GROUP BY k HAVING count(*) >= 0.003 * (SELECT count(*) FROM m)",
