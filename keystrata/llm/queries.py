@@ -91,6 +91,22 @@ def p7_removal_spans(spark: SparkSession, sf: str) -> DataFrame:
     return removal_spans(_leaks(spark, sf)).withColumnRenamed("id", "doc_id")
 
 
+def _subjects(spark: SparkSession, sf: str) -> DataFrame:
+    from keystrata.llm.subjects import subject_counts
+
+    return subject_counts(
+        table(spark, sf, "documents"), "doc_id", "text", "thread_id", table(spark, sf, "subject_labels"), "doc_id", "subject",
+        table(spark, sf, "subject_areas"), "subject")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _subjects(spark, sf).select(F.col("id").alias("doc_id"), "subject").distinct()
+
+
+def p8_composition(spark: SparkSession, sf: str) -> DataFrame:
+    return _subjects(spark, sf).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"))
+
+
 _MESSAGE_KEYS = """
   SELECT msg_id, k FROM (
     SELECT msg_id, CASE WHEN key_len IS NULL THEN key
@@ -98,7 +114,7 @@ _MESSAGE_KEYS = """
   WHERE octet_length(k) > 0"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_error_rate, p3_found, p3_counts, p5_found, p5_fill, p6_ids, p7_found, p7_removal_spans)
+    f.__name__: f for f in (p1_found, p1_error_rate, p3_found, p3_counts, p5_found, p5_fill, p6_ids, p7_found, p7_removal_spans, p8_found, p8_composition)
 }
 SQL: dict[str, str] = {
     "p5_found": "SELECT record_id FROM record_headers WHERE key_len >= 0 AND value_len >= 0 AND (32 + key_len + value_len + 127) // 128 * 128 > 1048560",
