@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from keystrata.plans import problems
+from keystrata.plans import base, folds, problems, store, topology
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+MODULES = (store, folds, topology, problems)
+QUERIES = {**problems.QUERIES, **base.QUERIES}
+SQL = {**problems.SQL, **base.SQL}
