@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _class(pattern: str, at: int) -> tuple[str, int]:
@@ -65,7 +66,7 @@ def glob_match(text: Column, pattern: str) -> Column:
     return text.rlike(glob_to_regex(pattern).replace("$", "\\z") if pattern[-1] != "*" else glob_to_regex(pattern)[:-len("[\\s\\S]*$")])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def glob_regex(pattern: pd.Series) -> pd.Series:
     """`glob_to_regex` for a column of patterns; null of null."""
     return pattern.map(lambda p: None if p is None else glob_to_regex(p).replace("$", "\\z"))

@@ -7,6 +7,7 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def parse_int(text: Column) -> Column:
@@ -29,7 +30,7 @@ def plain_float(x: float) -> str:
     return s.rstrip("0").rstrip(".") if "." in s else s
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def float_text(x: pd.Series) -> pd.Series:
     """`plain_float` of a column; null of null."""
     return x.map(lambda v: None if v is None or pd.isna(v) else plain_float(v))

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLOTS = 16_384
 
@@ -54,7 +55,7 @@ def key_slot(key: Column) -> Column:
     return crc16(hash_tag(key)) % SLOTS
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def crc32c(data: pd.Series) -> pd.Series:
     """CRC32C of binary values, all values of a batch advanced together; null of null."""
     table = np.array(CRC32C, dtype=np.uint32)

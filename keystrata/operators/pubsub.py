@@ -24,7 +24,7 @@ def publish(messages: DataFrame, exact: DataFrame, patterns: DataFrame) -> DataF
         raise ValueError(f"more than {MAX_PATTERNS} patterns")
     rules = rules.withColumn("regex", glob_regex(F.col("pattern")))
     channels = messages.select("channel").where("channel IS NOT NULL").distinct()
-    matched = channels.join(F.broadcast(rules), F.col("channel").rlike(F.col("regex"))).drop("regex")
+    matched = channels.join(F.broadcast(rules), F.rlike("channel", F.col("regex"))).drop("regex")
     two = messages.select("msg_id", "channel").join(matched, "channel").select("msg_id", "channel", "subscriber", F.lit("pmessage").alias("kind"), "pattern")
     return one.unionByName(two)
 

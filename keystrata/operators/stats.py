@@ -25,7 +25,7 @@ def percentile_bound(hist: DataFrame, by: list[str], p: float, name: str) -> Dat
     """Upper bound of the bucket in which the count reaches ceil(n * p); at most 24 rows for each `by` are sorted."""
     w = Window.partitionBy(*by)
     run = hist.withColumn("run", F.sum("n").over(w.orderBy("bucket"))).withColumn("need", F.ceil(F.sum("n").over(w) * p))
-    return run.where(F.col("run") >= F.col("need")).groupBy(*by).agg(F.shiftleft(F.lit(1).cast("long"), (F.min("bucket") + 1)).alias(name))
+    return run.where(F.col("run") >= F.col("need")).groupBy(*by).agg(F.call_function("shiftleft", F.lit(1).cast("long"), F.min("bucket") + 1).alias(name))
 
 
 def hit_ratio(df: DataFrame, hit: Column, by: list[str]) -> DataFrame:
