@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from keystrata.llm.fmindex import FMIndex
 from keystrata.session import ship
@@ -70,14 +71,15 @@ class Passages:
     """Passages as reduced words, and the distinct runs of words to search for."""
 
     def __init__(self, items: list[tuple], window: int, errors: int):
-        self.window, self.errors = window, errors
         self.ids = [i for i, _ in items]
         self.words = [[w for w in (_fold(x).encode() for x in MARK.sub(_mark, p or "").split()) if w] for _, p in items]
         self.begin = [np.concatenate([[0], np.cumsum([len(w) for w in ws])]).astype(np.int64) for ws in self.words]
         at: dict[bytes, list[tuple[int, int]]] = {}
+        self.need = [min(window, len(ws)) for ws in self.words]
+        self.errors = [errors * n // window for n in self.need]
+        self.run = [max(1, (n - e) // (e + 1)) for n, e in zip(self.need, self.errors)]
         for k, ws in enumerate(self.words):
-            need = min(window, len(ws))
-            run = max(1, (need - errors) // (errors + 1))
+            run = self.run[k]
             for j in range(len(ws) - run + 1):
                 at.setdefault(b"".join(ws[j : j + run]), []).append((k, j))
         keys = sorted(at)
@@ -89,7 +91,6 @@ class Passages:
         self.offset = np.concatenate([[0], np.cumsum(self.count)]).astype(np.int64)
         self.item = np.fromiter((k for x in keys for k, _ in at[x]), np.int64)
         self.word = np.fromiter((j for x in keys for _, j in at[x]), np.int64)
-        self.run = [max(1, (min(window, len(ws)) - errors) // (errors + 1)) for ws in self.words]
 
 
 def _right(ws: list[bytes], text: bytes, b: int, y: int, left: int) -> tuple[int, int]:
@@ -168,7 +169,7 @@ def shard_hits(ids: list, texts: list[str], blocks: list[Passages]) -> Iterator[
             held = spans.setdefault((d, k), [])
             if any(lo_ <= x and y <= hi_ for lo_, hi_ in held):
                 continue
-            if got := _window(ws, reduced[d], b, end, x, y, min(p.window, len(ws)), p.errors):
+            if got := _window(ws, reduced[d], b, end, x, y, p.need[k], p.errors[k]):
                 held.append(got)
         offsets: dict[int, tuple] = {}
         for (d, k), held in spans.items():
@@ -193,8 +194,8 @@ def leaks(
 
     One pass over the corpus without a shuffle; a shard is so many texts of a partition that they reach `shard_bytes` (a
     longer text is a shard by itself). The passages travel with the tasks, in blocks of `items_per_block`; the driver stops
-    with an error above 64 MB of passages. Null and empty texts and passages match nothing; a passage shorter than `window` words must occur whole
-    but for the errors; one with fewer than `errors` + 1 words must occur unaltered. Ids may repeat: each row is reported.
+    with an error above 64 MB of passages. Null and empty texts and passages match nothing; a passage shorter than `window` words must occur whole,
+    with its share of the errors, rounded down. Ids may repeat: each row is reported.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -204,6 +205,7 @@ def leaks(
         raise ValueError(f"passages of {size} bytes; at most 64 MB can be searched for in one call")
     rows = [tuple(r) for r in held.sort(item_col).collect()]
     shared = spark.sparkContext.broadcast(rows)
+    item_arrow = to_arrow_type(items.schema[item_col].dataType)
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +218,7 @@ def leaks(
         def search() -> pa.RecordBatch:
             out = [*shard_hits(ids, texts, blocks)]
             spans = pa.array([[{"start": a, "end": b} for a, b in s] for _, _, s in out], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in out], schema), pa.array([k for _, k, _ in out], pa.int64() if item_type == "bigint" else None), spans], names=["id", "item_id", "spans"])
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in out], schema), pa.array([k for _, k, _ in out], item_arrow), spans], names=["id", "item_id", "spans"])
 
         for b in batches:
             schema = b.schema.field("id").type

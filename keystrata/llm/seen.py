@@ -92,13 +92,11 @@ class BlockedBloom:
 
 
 def _firsts(keys: pa.Array, ids: np.ndarray) -> np.ndarray:
-    """Mask of the rows that have the smallest id of their key among these (the first of equal ids)."""
+    """Mask of the rows that have the smallest id of their key among these; several where that id is repeated."""
     codes = pc.dictionary_encode(keys).indices.to_numpy(zero_copy_only=False)
-    order = np.argsort(ids, kind="stable")
-    _, at = np.unique(codes[order], return_index=True)
-    out = np.zeros(len(ids), dtype=bool)
-    out[order[at]] = True
-    return out
+    least = np.full(int(codes.max()) + 1 if len(codes) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, codes, ids)
+    return ids == least[codes]
 
 
 def _blank(keys: pa.Array, keep: np.ndarray) -> pa.Array:
@@ -191,8 +189,8 @@ def bloom_verdicts(
     `expected_keys` bounds the distinct keys (default: the rows of `df`, from the file footers where it is a plain scan) and
     with `fp_rate` sizes the filters; `filter_mb` bounds a single one, so the number of buckets grows with the keys.
     With `state` (bucket, blob), give the `buckets` and `expected_keys` it was made with. `probes` adds so many keys that
-    cannot occur (random 33-byte keys), asked after everything else. Rows whose key is null have none and give no row;
-    an empty table gives none either. Ids must be unique; equal ids are taken in any order.
+    cannot occur (33 bytes from a hash), asked after everything else. Rows whose key or id is null have none and give no row;
+    an empty table gives none either. An empty key is a key like any other. Rows with equal ids are not earlier than one another.
     """
     spark = df.sparkSession
     ship(spark)

@@ -347,4 +347,5 @@ def subject_counts(
                 yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(ids, pa.int64())), pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["id", "subject", "sentences"])
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL AND text <> ''")
-    return picked.mapInArrow(run, f"id {id_type}, subject string, sentences long")
+    schema = f"id {id_type}, subject string, sentences long"
+    return picked.mapInArrow(run, schema) if subjects else spark.createDataFrame([], schema)
