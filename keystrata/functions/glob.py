@@ -63,10 +63,11 @@ def glob_match(text: Column, pattern: str) -> Column:
         return text == pattern
     if special[0] == len(pattern) - 1 and pattern[-1] == "*":
         return F.startswith(text, F.lit(pattern[:-1])) if len(pattern) > 1 else text.isNotNull()
-    return text.rlike(glob_to_regex(pattern).replace("$", "\\z") if pattern[-1] != "*" else glob_to_regex(pattern)[:-len("[\\s\\S]*$")])
+    regex = glob_to_regex(pattern)[:-1]
+    return text.rlike(regex[: -len(r"[\s\S]*")] if pattern[-1] == "*" else regex + r"\z")
 
 
 @F.pandas_udf(T.StringType())
 def glob_regex(pattern: pd.Series) -> pd.Series:
     """`glob_to_regex` for a column of patterns; null of null."""
-    return pattern.map(lambda p: None if p is None else glob_to_regex(p).replace("$", "\\z"))
+    return pattern.map(lambda p: None if p is None else glob_to_regex(p)[:-1] + r"\z")

@@ -38,6 +38,9 @@ class VectorTable:
     """
 
     def __init__(self, spark: SparkSession, path: str, payload: T.StructType = T.StructType()):
+        taken = {"db", "key", "generation", "kind", "file", "pos", "bucket", "bits"} & {f.name for f in payload.fields}
+        if taken:
+            raise ValueError(f"payload columns {sorted(taken)} have names that the table needs")
         self.spark, self.path, self.payload = spark, path.rstrip("/"), payload
         self.versions = Versions(spark, f"{self.path}/log")
         self.image = T.StructType([T.StructField("db", T.IntegerType()), T.StructField("key", T.BinaryType()), T.StructField("generation", T.LongType()), *payload.fields])
@@ -59,12 +62,14 @@ class VectorTable:
     def apply(self, batch: DataFrame, *, before_commit=None) -> int:
         """Apply rows with db, key, generation, kind and the payload; returns the version.
 
-        Rows come in any order and any number of times. The batch is first reduced to each key's highest generation, before any
+        Rows come in any order and any number of times; those with a null key or generation or another kind are left out, other
+        columns are not read, an empty batch is an empty version. The batch is first reduced to each key's highest generation, before any
         shuffle and again after it, so a hot key costs one row for each task.
         """
         manifest, number = self.versions.load(), self.versions.number() + 1
         tag = f"{number:09d}-{uuid.uuid4().hex[:8]}"
         cols = [f.name for f in self.payload.fields]
+        batch = batch.where("key IS NOT NULL AND generation IS NOT NULL AND kind IN ('PUT', 'DELETE')")
         new = batch.groupBy(F.col("db").cast("int").alias("db"), "key").agg(F.max(F.struct(F.col("generation").cast("long").alias("generation"), "kind", *cols)).alias("c"))
         new = new.select("db", "key", "c.*")
         old = self._index(manifest).select(F.col("db").alias("odb"), F.col("key").alias("okey"), F.col("generation").alias("ogen"), F.col("file").alias("ofile"), F.col("pos").alias("opos"))

@@ -67,6 +67,7 @@ class Connection:
     db: int = 0
     queue: list[list[bytes]] | None = None
     watched: dict[tuple[int, bytes], int | None] = field(default_factory=dict)
+    selected: bool = False
 
 
 class Refused(Exception):
@@ -131,16 +132,16 @@ class Store:
     # dispatch
 
     def run(self, conn: int, db: int | None, args: list[bytes], now: int) -> object:
-        """The reply to one command. `db` sets the connection's database if it hasn't run a command before."""
+        """The reply to one command. `db` is the connection's database until it has run a SELECT."""
         self.now = max(now, 0)
-        c = self.conns.get(conn)
-        if c is None:
-            c = self.conns[conn] = Connection(db or 0)
-        c_id, name = conn, args[0].upper() if args and args[0] is not None else b""
+        c = self.conns.setdefault(conn, Connection())
+        if not c.selected:
+            c.db = db or 0
+        name = args[0].upper() if args and args[0] is not None else b""
         if c.queue is not None and name not in (b"MULTI", b"EXEC", b"DISCARD", b"WATCH"):
             c.queue.append(args)
             return Status("QUEUED")
-        return self.execute(c, c_id, args)
+        return self.execute(c, conn, args)
 
     def execute(self, c: Connection, conn: int, args: list[bytes]) -> object:
         name = args[0].upper() if args and args[0] is not None else b""
@@ -519,7 +520,7 @@ def _select(s, c, a, conn):
     n = strict_int(a[0], 0, DATABASES - 1)
     if n is None:
         raise Refused("ERR DB index is out of range")
-    c.db = n
+    c.db, c.selected = n, True
     return Status("OK")
 
 

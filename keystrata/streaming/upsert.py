@@ -43,7 +43,7 @@ class ExpiringState(StatefulProcessor):
         self.handle = handle
         self.held = handle.getValueState("held", "generation long, value binary, until long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         best = self.held.get() if self.held.exists() else None
         out = None
         for pdf in rows:
@@ -60,7 +60,7 @@ class ExpiringState(StatefulProcessor):
                 self.handle.registerTimer(best[2])
             yield pd.DataFrame([out], columns=["key", "generation", "value", "event"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         best = self.held.get() if self.held.exists() else None
         if best is not None and best[1] is not None:
             self.held.update((best[0], None, 0))
