@@ -77,6 +77,24 @@ def fragmented(blocks: DataFrame, by: list[str], below: float = 0.5, at_least: i
     return top.crossJoin(F.broadcast(n)).where(F.col("found") >= at_least).drop("found")
 
 
+def unlinkable(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """Files of which no block holds a live record: (by, blocks). Nulls of live_records count as live: such a file is kept."""
+    each = blocks.groupBy(*by).agg(F.count("*").alias("blocks"), F.max(F.coalesce("live_records", F.lit(1))).alias("most"))
+    return each.where("most <= 0").drop("most")
+
+
+def candidates(state: DataFrame, shard: Column, per_shard: int = 1, seed: int = 0) -> DataFrame:
+    """Eviction candidates by sampling: of each db and shard the `per_shard` keys first in the order of a seeded hash (ties by key).
+
+    Only keys go through the partial aggregate; `per_shard` bounds what a shard holds.
+    """
+    drawn = state.select("db", shard.alias("shard"), F.struct(F.xxhash64("key", F.lit(seed)).alias("h"), "key", "generation").alias("c"))
+    if per_shard == 1:
+        return drawn.groupBy("db", "shard").agg(F.min("c").alias("c")).select("db", "shard", "c.key", "c.generation")
+    w = Window.partitionBy("db", "shard").orderBy("c")
+    return drawn.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_shard).select("db", "shard", "c.key", "c.generation")
+
+
 def compact(log: DataFrame, state: DataFrame) -> DataFrame:
     """Rows of `log` that are the present image of their key: what a rewrite keeps, generations unchanged."""
     return log.join(state.select("db", "key", "generation"), ["db", "key", "generation"], "left_semi").dropDuplicates(["db", "key", "generation"])

@@ -277,6 +277,17 @@ def kv_compaction_candidates(spark, sf):
     return maintenance.fragmented(table(spark, sf, "wblock_meta").distinct(), ["db", "file_id", "wblock_id"])
 
 
+@query("SELECT db, file_id, count(*) AS blocks FROM (SELECT DISTINCT * FROM wblock_meta) GROUP BY db, file_id HAVING max(coalesce(live_records, 1)) <= 0")
+def kv_unlink_files(spark, sf):
+    return maintenance.unlinkable(table(spark, sf, "wblock_meta").distinct(), ["db", "file_id"])
+
+
+@query()
+def kv_eviction_sample(spark, sf):
+    shard = F.conv(F.substring(F.md5("key"), 1, 1), 16, 10).cast("int")
+    return maintenance.candidates(state(spark, sf), shard, 1, 5).select("db", "shard", key_hex(F.col("key")).alias("key_hex"), "generation")
+
+
 @query(f"SELECT db, lower(hex(key)) AS key_hex, generation FROM ({STATE})")
 def kv_compact(spark, sf):
     return maintenance.compact(log(spark, sf).select("db", "key", "generation", "value"), state(spark, sf, None)).select("db", key_hex(F.col("key")).alias("key_hex"), "generation")

@@ -165,3 +165,30 @@ def test_catalogue_and_missing_subpackage():
     root = Path(__file__).resolve().parents[1]
     code = "import sys; sys.modules['keystrata.llm'] = None; import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert 'kv_lww_state' in q and 'p1_found' not in q and set(s) <= set(q); print(len(q))"
     assert int(subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout) > 60
+
+
+def test_resp_files_and_reply_bytes(spark, tmp_path):
+    from keystrata.operators.interpreter import replay
+    from keystrata.sources.commands import RespSource, reply_bytes
+    from keystrata.sources.resp import dump, load
+
+    cmds = [[b"SET", b"k", b"v\r\n"], [b"APPEND", b"k", b"\x00w"], [b"MGET", b"k", b"x"], [b"NOPE"]]
+    (tmp_path / "a.resp").write_bytes(b"".join(map(dump, cmds)) + b"*2\r\n$3\r\nGE")
+    (tmp_path / "b.resp").write_bytes(dump([b"PING"]) + b"$x\r\n")
+    (tmp_path / "c.resp").write_bytes(b"")
+    spark.dataSource.register(RespSource)
+    rows = spark.read.format("keystrata_resp").load(str(tmp_path)).collect()
+    a = [r for r in rows if r.file == "a.resp"]
+    assert [(r.cmd, [bytes(x) for x in r.args]) for r in a] == [(c[0].decode(), c[1:]) for c in cmds]
+    assert [r.error is None for r in rows if r.file == "b.resp"] == [True, False]
+    table = spark.createDataFrame([(r.seq, 0, 1, r.cmd, r.args, None) for r in a], "seq long, db int, conn_id long, cmd string, args array<binary>, ts timestamp_ntz")
+    got = [load(bytes(r.raw))[0] for r in reply_bytes(replay(table)).sort("seq").collect()]
+    assert got[0] == "OK" and got[1] == 5 and got[2] == [b"v\r\n\x00w", None] and "Unknown command" in got[3]
+
+
+def test_files_without_live_records(spark):
+    b = spark.createDataFrame([(0, 1, 0), (0, 1, 0), (0, 2, 0), (0, 2, 3), (0, 3, None)], "db int, file_id int, live_records long")
+    assert [r.file_id for r in maintenance.unlinkable(b, ["db", "file_id"]).collect()] == [1]
+    s = spark.createDataFrame([(0, f"k{i}".encode(), i) for i in range(90)], "db int, key binary, generation long")
+    assert maintenance.candidates(s, F.col("generation") % 3, 5).count() == 15
+    assert maintenance.candidates(s, F.col("generation") % 3, 1).count() == 3
