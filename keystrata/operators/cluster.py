@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keystrata.functions.slots import SLOTS
+from keystrata.operators import prefix
 
 
 def numbered(nodes: DataFrame) -> DataFrame:
@@ -73,10 +74,9 @@ def cluster_nodes(slots: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def health(beats: DataFrame, node: str, order: str, missed: Column, suspect: int = 3, dead: int = 6) -> DataFrame:
     """`beats` with `misses` (consecutive misses up to the row) and `health`: active, suspect or dead; any answer makes it active."""
-    w = Window.partitionBy(node).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    streak = beats.withColumn("answers", F.count_if(~missed).over(w))
-    ws = Window.partitionBy(node, "answers").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    n = streak.withColumn("misses", F.count_if(missed).over(ws)).drop("answers")
+    one = F.lit(1).cast("long")
+    streak = prefix.running_sum(beats, [node], order, F.when(~missed, one), "answers")
+    n = prefix.running_sum(streak, [node, "answers"], order, F.when(missed, one), "misses").drop("answers")
     return n.withColumn("health", F.when(F.col("misses") >= dead, "dead").when(F.col("misses") >= suspect, "suspect").otherwise("active"))
 
 

@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keystrata.operators import prefix
 from keystrata.session import ship
 
 I64 = (-(2**63), 2**63 - 1)
@@ -19,8 +20,7 @@ I64 = (-(2**63), 2**63 - 1)
 
 def epochs(ops: DataFrame, key: list[str], order: str, resets: Column) -> DataFrame:
     """`ops` with `epoch`: the resets of the key up to and with the row."""
-    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return ops.withColumn("epoch", F.count_if(resets).over(w))
+    return prefix.running_sum(ops, key, order, F.when(resets, F.lit(1).cast("long")), "epoch")
 
 
 def running_sum(ops: DataFrame, key: list[str], order: str, resets: Column, start: Column, delta: Column) -> DataFrame:
@@ -28,8 +28,7 @@ def running_sum(ops: DataFrame, key: list[str], order: str, resets: Column, star
 
     `start` is the value a reset sets (0 for a delete), `delta` what any other row adds (0 for reads). A key starts from 0.
     """
-    w = Window.partitionBy(*key, "epoch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return epochs(ops, key, order, resets).withColumn("result", F.sum(F.when(resets, start).otherwise(delta)).over(w))
+    return prefix.running_sum(epochs(ops, key, order, resets), [*key, "epoch"], order, F.when(resets, start).otherwise(delta), "result")
 
 
 def appended(ops: DataFrame, key: list[str], order: str, resets: Column, value: Column) -> DataFrame:
@@ -45,8 +44,7 @@ def appended(ops: DataFrame, key: list[str], order: str, resets: Column, value:
 
 def last_before(ops: DataFrame, key: list[str], order: str, of: Column, when: Column) -> DataFrame:
     """As-of lookup: `ops` with `before`, the value of `of` in the key's last earlier row where `when` holds; null if there is none."""
-    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return ops.withColumn("before", F.last(F.when(when, F.struct(of.alias("v"))), ignorenulls=True).over(w)["v"])
+    return prefix.last_value(ops, key, order, of, when, "before")
 
 
 def exact_fold(ops: DataFrame) -> DataFrame:

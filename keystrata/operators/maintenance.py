@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keystrata.operators import prefix
+
 POLICIES = ("noeviction", "allkeys-lru", "volatile-lru", "allkeys-random", "volatile-random", "volatile-ttl")
 
 
@@ -54,10 +56,11 @@ def over_capacity(log: DataFrame, max_keys: int) -> DataFrame:
     db already holds `max_keys` keys and this one isn't among them. Keys that were refused once still count as seen here; the
     check is on keys ever written, which holds for logs without deletes.
     """
-    first = F.min("generation").over(Window.partitionBy("db", "key")) == F.col("generation")
-    rows = log.where("kind = 'PUT'").withColumn("new", first.cast("long"))
-    seen = F.sum("new").over(Window.partitionBy("db").orderBy("generation").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("oom", (F.col("new") == 1) & (seen > max_keys)).drop("new")
+    puts = log.where("kind = 'PUT'")
+    first = puts.groupBy("db", "key").agg(F.min("generation").alias("generation")).withColumn("new", F.lit(1).cast("long"))
+    rows = puts.join(first, ["db", "key", "generation"], "left").withColumn("new", F.coalesce("new", F.lit(0).cast("long")))
+    seen = prefix.running_sum(rows, ["db"], "generation", F.col("new"), "seen")
+    return seen.withColumn("oom", (F.col("new") == 1) & (F.col("seen") > max_keys)).drop("new", "seen")
 
 
 def utilization(blocks: DataFrame, by: list[str]) -> DataFrame:
@@ -102,8 +105,8 @@ def compact(log: DataFrame, state: DataFrame) -> DataFrame:
 
 def log_files(entries: DataFrame, by: str, order: str, size: Column, max_bytes: int) -> DataFrame:
     """Log rotation: `entries` with `file_no`, a new one for every `max_bytes` of a shard's log in its order."""
-    begin = F.sum(size).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return entries.withColumn("file_no", F.floor(F.coalesce(begin, F.lit(0)) / max_bytes).cast("long"))
+    begun = prefix.running_sum(entries, [by], order, size, "begun", before=True)
+    return begun.withColumn("file_no", F.floor(F.col("begun") / max_bytes).cast("long")).drop("begun")
 
 
 def retention(files: DataFrame, by: str, order: str, keep: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from keystrata.operators import folds, interpreter, pubsub
+from keystrata.operators import folds, interpreter, prefix, pubsub
 from keystrata.plans.base import query
 from keystrata.session import table
 
@@ -105,8 +105,7 @@ def kv_set_xx(spark, sf):
     but for refused ones, which follow a DEL or nothing and so does what follows them.
     """
     e = _events(spark, sf).where(_is("click", "purchase", "error"))
-    w = Window.partitionBy(*_KEY).orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    e = e.withColumn("p", F.last(F.col("event_type")).over(w))
+    e = prefix.last_value(e, _KEY, "event_id", F.col("event_type"), F.lit(True), "p")
     return e.where(_is("purchase")).select("event_id", "user_id", F.when(F.col("p").isNotNull() & (F.col("p") != "error"), 1).otherwise(0).alias("written"))
 
 
@@ -123,9 +122,9 @@ def kv_set_get(spark, sf):
   OVER (PARTITION BY user_id ORDER BY event_id), 0) AS BIGINT) AS ttl FROM events) WHERE event_type = 'click' AND ttl > 0""")
 def kv_keepttl(spark, sf):
     """click SET … KEEPTTL: the lifetime in seconds of the last signup SET EX floor(value) stays, its clock starts again."""
-    w = Window.partitionBy(*_KEY).orderBy("event_id")
-    own = F.when(_is("signup"), F.floor("value").cast("long")).when(_is("error"), F.lit(0).cast("long"))
-    e = _events(spark, sf).withColumn("ttl", F.coalesce(F.last(own, ignorenulls=True).over(w), F.lit(0).cast("long")))
+    own = F.when(_is("signup"), F.floor("value").cast("long")).otherwise(F.lit(0).cast("long"))
+    e = prefix.last_value(_events(spark, sf), _KEY, "event_id", own, _is("signup", "error"), "ttl", before=False)
+    e = e.withColumn("ttl", F.coalesce("ttl", F.lit(0).cast("long")))
     e = e.where(_is("click") & (F.col("ttl") > 0))
     from keystrata.operators.state import expires_at
 
