@@ -139,46 +139,58 @@ class Model:
         return n
 
 
-def _select(idx: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray, section: np.ndarray, purity: float, smooth: float) -> np.ndarray:
+def _occurrences(idx: np.ndarray, rows: np.ndarray, section: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (section, feature) pairs: each one's feature, and the pair of each entry of `idx`."""
+    pair, to = np.unique(section[rows] * (1 << BITS) + idx, return_inverse=True)
+    return pair & ((1 << BITS) - 1), to
+
+
+def _select(occurrences: tuple[np.ndarray, np.ndarray], rows: np.ndarray, y: np.ndarray, weight: np.ndarray, purity: float, smooth: float) -> np.ndarray:
     """Features that stand mostly with one subject: mask over all of them.
 
     A feature counts for a subject with the square root of its sentences in each section, divided by the subject's own sum,
     so no long thread decides. `smooth` is added below, so a rare feature needs more purity; words that stand with
     everything, as those of common phrases, drop out.
     """
-    rows = np.repeat(np.arange(len(y)), np.diff(at))
-    pair, to = np.unique(section[rows] * (1 << BITS) + idx, return_inverse=True)
-    of = pair & ((1 << BITS) - 1)
+    of, to = occurrences
     w = y * weight[:, None]
-    c = np.stack([np.bincount(of, weights=np.sqrt(np.bincount(to, weights=w[rows, j], minlength=len(pair))), minlength=1 << BITS) for j in range(y.shape[1])], axis=1)
+    c = np.stack([np.bincount(of, weights=np.sqrt(np.bincount(to, weights=w[rows, j], minlength=len(of))), minlength=1 << BITS) for j in range(y.shape[1])], axis=1)
     share = c[0] / max(1e-9, c[0].sum())  # feature 0 is in every sentence
     r = c / np.maximum(share, 0.02) / y.shape[1]
     return r.max(axis=1) >= purity * (r.sum(axis=1) + smooth)
 
 
-def _fit(idx: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np.ndarray, keep: np.ndarray, epochs: int = 40, l2: float = 0.02) -> np.ndarray:
-    """Logistic regression for each column of y on the kept features and feature 0, by full-batch steps with a rate for each weight."""
-    n, k = y.shape
-    keep = keep.copy()
-    keep[0] = True
-    rows = np.repeat(np.arange(n), np.diff(at))
-    kept = keep[idx] & (weight[rows] > 0)
-    rows, (used, col) = rows[kept], np.unique(idx[kept], return_inverse=True)
-    w = np.zeros((len(used), k))
-    w[used == 0] = -3.0
-    for j in range(k):
-        wj, seen = w[:, j], np.full(len(used), 1e-6)
-        yj = y[:, j]
-        gw = weight * np.where(yj > 0.5, 2.0, 1.0)
-        for _ in range(epochs):
-            z = np.bincount(rows, weights=wj[col], minlength=n)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - yj) * gw
-            grad = np.bincount(col, weights=g[rows], minlength=len(used)) + l2 * wj
-            grad[used == 0] = 0.0  # a sentence without kept words stays without a subject
+BIAS = -3.0
+
+
+def _fit(idx: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, keep: np.ndarray, start: np.ndarray | None, l2: float = 0.02) -> np.ndarray:
+    """Logistic regression for each column of y on the kept features, by full-batch steps with a rate for each weight.
+
+    40 steps from nothing, or 15 from the weights of the round before (`start`). The weight of feature 0 stays as it is, so that a sentence without kept words has no subject; such sentences move no other
+    weight and are left out.
+    """
+    entry = keep[idx] & (idx != 0) & (weight[rows] > 0)
+    used = np.flatnonzero(np.bincount(idx[entry], minlength=1 << BITS))
+    place = np.zeros(1 << BITS, dtype=np.int64)
+    place[used] = np.arange(len(used))
+    col = place[idx[entry]]
+    have = np.flatnonzero(np.bincount(rows[entry], minlength=len(y)))
+    place = np.zeros(len(y), dtype=np.int64)
+    place[have] = np.arange(len(have))
+    row = place[rows[entry]]
+    out = np.zeros((1 << BITS, y.shape[1]), dtype=np.float32)
+    out[0] = BIAS
+    for j in range(y.shape[1]):
+        w = np.zeros(len(used)) if start is None else start[used, j].astype(float)
+        seen, yj = np.full(len(used), 1e-6), y[have, j]
+        much = weight[have] * np.where(yj > 0.5, 2.0, 1.0)
+        for _ in range(40 if start is None else 15):
+            z = BIAS + np.bincount(row, weights=w[col], minlength=len(have))
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - yj) * much
+            grad = np.bincount(col, weights=g[row], minlength=len(used)) + l2 * w
             seen += grad**2
-            wj -= 0.8 * grad / np.sqrt(seen)
-    out = np.zeros((1 << BITS, k), dtype=np.float32)
-    out[used] = w
+            w -= 0.8 * grad / np.sqrt(seen)
+        out[used, j] = w
     return out
 
 
@@ -224,9 +236,12 @@ def train(docs: list[tuple[list[list[str]], set[str], float, int]], subjects: li
     section = np.unique([g for *_, g in docs], return_inverse=True)[1][of]
     idx, at = features(sents)
     y, w = hinted, base / np.maximum(1, hinted.sum(axis=1))
+    rows = np.repeat(np.arange(len(sents)), np.diff(at))
+    occurrences = _occurrences(idx, rows, section)
+    model = None
     for much in smooth:
-        keep = _select(idx, at, y, w, section, purity, much)
-        model = Model(subjects, _fit(idx, at, y, w, keep), np.full(k, 0.5))
+        keep = _select(occurrences, rows, y, w, purity, much)
+        model = Model(subjects, _fit(idx, rows, y, w, keep, model and model.weights), np.full(k, 0.5))
         y, w = _targets(model.scores(idx, at), hinted, par)
     model.thresholds = calibrate(model, [p for p, _, w, _ in docs if w >= 1], [ys for _, ys, w, _ in docs if w >= 1])
     return model
