@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -73,12 +74,18 @@ def materialize(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand this package to the executors, once for each application."""
+    """Hand this package to the executors, once for each application; Spark serves the archive from the driver."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
-    at = os.path.join(tempfile.mkdtemp(prefix="keystrata-pkg-"), "keystrata.zip")
+    shared = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    if ":" in shared:  # a folder that only Hadoop can write: the driver keeps the archive
+        shared = tempfile.mkdtemp(prefix="keystrata-pkg-")
+    folder = os.path.join(shared, f"keystrata-{app}")
+    os.makedirs(folder, exist_ok=True)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    at = os.path.join(folder, "keystrata.zip")
     with zipfile.ZipFile(at, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
