@@ -660,15 +660,16 @@ def replay(commands: DataFrame, max_keys: int | None = None) -> DataFrame:
     """Replies (seq, kind, str, int, bulk, items) to commands (seq, db, conn_id, cmd, args, ts), one for each.
 
     Commands run in the order of `seq`. Where a database sees only commands of one key, each key is its own ordered stream; else
-    the database is one stream; a SELECT, FLUSHALL, pub/sub or INFO makes the whole table one. Streams are read in order with the
-    live keys as the only state. Null args count as none, a null cmd is an unknown command, a null ts takes the stream's last time,
+    the database is one stream, as it is with `max_keys`, a cap on all its keys; a SELECT, FLUSHALL, pub/sub or INFO makes the whole
+    table one. Streams are read in order with the live keys as the only state. Null args count as none, a null cmd is an unknown command, a null ts takes the stream's last time,
     a null conn_id is connection 0, a null db database 0.
     """
     ship(commands.sparkSession)
     c = commands.select("seq", F.coalesce("db", F.lit(0)).cast("int").alias("db"), F.coalesce("conn_id", F.lit(0)).cast("long").alias("conn_id"),
         F.upper(F.coalesce("cmd", F.lit(""))).alias("cmd"), F.coalesce("args", F.array().cast("array<binary>")).alias("args"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     wide = F.col("cmd").isin("SELECT", "FLUSHALL", "INFO", "PUBLISH", "SUBSCRIBE", "PSUBSCRIBE", "UNSUBSCRIBE", "PUNSUBSCRIBE")
-    links = c.groupBy("db").agg(F.max(~F.col("cmd").isin(*ONE_KEY, *NO_KEY)).alias("linked"), F.max(wide).alias("wide"))
+    linked = F.max(~F.col("cmd").isin(*ONE_KEY, *NO_KEY)) if max_keys is None else F.lit(True)
+    links = c.groupBy("db").agg(linked.alias("linked"), F.max(wide).alias("wide"))
     links = links.withColumn("wide", F.max("wide").over(Window.partitionBy()))
     stream = F.when(F.col("wide"), F.lit("*")).when(F.col("linked"), F.concat(F.lit("d"), F.col("db").cast("string"))).otherwise(
         F.concat(F.lit("k"), F.col("db").cast("string"), F.lit("/"), F.coalesce(F.hex(F.try_element_at("args", F.lit(1))), F.lit(""))))

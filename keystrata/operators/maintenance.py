@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from keystrata.operators import prefix
+from keystrata.session import ship
 
 POLICIES = ("noeviction", "allkeys-lru", "volatile-lru", "allkeys-random", "volatile-random", "volatile-ttl")
 
@@ -51,16 +56,41 @@ def evict(state: DataFrame, policy: str, max_keys: int, seed: int = 0) -> DataFr
     return whole.select(*state.columns).unionByName(cut.select(*state.columns))
 
 
-def over_capacity(log: DataFrame, max_keys: int) -> DataFrame:
-    """noeviction with a cap: PUTs of `log` (kind, db, key, generation), in the order of the generations, with `oom`: whether the
-    db already holds `max_keys` keys and this one isn't among them. Keys that were refused once still count as seen here; the
-    check is on keys ever written, which holds for logs without deletes.
+def over_capacity(log: DataFrame, max_keys: int, tie: str | None = "entry_id") -> DataFrame:
+    """noeviction with a cap: the PUTs of `log` (kind, db, key, generation) as (db, key, generation, oom), where `oom` is whether the
+    db holds `max_keys` keys at that moment and this one isn't among them.
+
+    PUTs and DELETEs of a db go in the order of the generations: a refused PUT leaves nothing, so a later one of its key is asked
+    again; a DELETE frees the slot. The same generation of a key again is the same change; of such rows the one with the lowest
+    `tie` counts. An expired key keeps its slot until it is deleted. A db is one task's stream, with at most `max_keys` keys as its
+    state: what is refused hangs on all that was admitted before.
     """
-    puts = log.where("kind = 'PUT'")
-    first = puts.groupBy("db", "key").agg(F.min("generation").alias("generation")).withColumn("new", F.lit(1).cast("long"))
-    rows = puts.join(first, ["db", "key", "generation"], "left").withColumn("new", F.coalesce("new", F.lit(0).cast("long")))
-    seen = prefix.running_sum(rows, ["db"], "generation", F.col("new"), "seen")
-    return seen.withColumn("oom", (F.col("new") == 1) & (F.col("seen") > max_keys)).drop("new", "seen")
+    ship(log.sparkSession)
+    rows = log.where(F.col("kind").isin("PUT", "DELETE")).select("db", "key", "generation", (F.col("kind") == "PUT").alias("put"), *([tie] if tie else []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, held, begun = None, None, set(), False
+        for b in batches:
+            taken, oom = [], []
+            for i, (db, key, generation, put) in enumerate(zip(*(b[c].to_pylist() for c in ("db", "key", "generation", "put")))):
+                if not begun or db != at:
+                    at, last, held, begun = db, None, set(), True
+                if (generation, key) == last:
+                    continue
+                last = (generation, key)
+                if not put:
+                    held.discard(key)
+                    continue
+                refused = key not in held and len(held) >= max_keys
+                if not refused:
+                    held.add(key)
+                taken.append(i)
+                oom.append(refused)
+            own = b.select(["db", "key", "generation"]).take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(oom, pa.bool_())], names=["db", "key", "generation", "oom"])
+
+    out = StructType([*rows.select("db", "key", "generation").schema.fields, StructField("oom", BooleanType())])
+    return rows.repartition("db").sortWithinPartitions("db", "generation", "key", *([tie] if tie else [])).mapInArrow(run, out)
 
 
 def utilization(blocks: DataFrame, by: list[str]) -> DataFrame:

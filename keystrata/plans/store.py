@@ -257,9 +257,8 @@ for _p in maintenance.POLICIES[1:]:
   r AS (SELECT db, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY db ORDER BY generation, n) AS seen, n FROM p)
   SELECT db, count(*) FILTER (n = 1 AND seen > 40) AS refused FROM r GROUP BY db""")
 def kv_capacity(spark, sf):
-    rows = st.lww(log(spark, sf).where("kind = 'PUT'"), order="generation", keep=()).select("db", "key")
-    first = log(spark, sf).where("kind = 'PUT'").groupBy("db", "key").agg(F.min("generation").alias("generation")).join(rows, ["db", "key"]).withColumn("kind", F.lit("PUT"))
-    return maintenance.over_capacity(first, 40).groupBy("db").agg(F.count_if("oom").alias("refused"))
+    rows = log(spark, sf).select("entry_id", "db", "key", "generation", "kind")
+    return maintenance.over_capacity(rows, 40).groupBy("db").agg(F.count_if("oom").alias("refused"))
 
 
 _UTIL = """SELECT db, file_id, wblock_id, CAST(sum(coalesce(live_records, 0)) AS BIGINT) AS live, CAST(sum(coalesce(total_records, 0)) AS BIGINT) AS total,

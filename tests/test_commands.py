@@ -105,6 +105,12 @@ def test_replay_by_key_by_database_and_whole(spark):
     assert replay(spark.createDataFrame([], COMMANDS)).count() == 0
 
 
+def test_replay_under_a_cap_takes_a_database_as_one_stream(spark):
+    rows = [(1, 0, 9, "SET", [b"a", b"1"], None), (2, 0, 9, "SET", [b"b", b"1"], None), (3, 0, 9, "SET", [b"a", b"2"], None), (4, 1, 9, "SET", [b"b", b"1"], None)]
+    got = {r.seq: r.kind for r in replay(spark.createDataFrame(rows, COMMANDS).repartition(3), max_keys=1).collect()}
+    assert got[2] == "error" and "error" not in (got[1], got[3], got[4])
+
+
 def test_exact_fold(spark):
     rows = [
         ("a", 1, "SET", "9223372036854775806"), ("a", 2, "INCRBY", "1"), ("a", 3, "INCRBY", "1"), ("a", 4, "APPEND", "x"), ("a", 5, "INCRBY", "1"), ("a", 6, "DEL", None), ("a", 7, "INCRBYFLOAT", "0.5"),

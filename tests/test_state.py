@@ -191,6 +191,26 @@ def test_eviction(spark, policy):
     assert maintenance.evict(df.where("false"), policy, 5).count() == 0
 
 
+def test_capacity_against_brute_force(spark):
+    rng = random.Random(5)
+    # db 0: "c" is refused twice, and taken once a delete has freed a slot; the last row repeats a change
+    rows = [(0, b"a", 1, "PUT"), (0, b"b", 2, "PUT"), (0, b"c", 3, "PUT"), (0, b"a", 4, "PUT"), (0, b"c", 5, "PUT"), (0, b"b", 6, "DELETE"), (0, b"c", 7, "PUT"), (0, b"b", 8, "PUT"), (0, b"c", 5, "PUT")]
+    rows += [(1, bytes([rng.randrange(6)]), g, "PUT" if rng.random() < 0.7 else "DELETE") for g in range(400)] + [(None, b"x", 1, "PUT")]
+    held, want = {}, {}
+    for db, key, g, kind in sorted(set(rows), key=lambda r: (str(r[0]), r[2])):
+        h = held.setdefault(db, set())
+        if kind == "DELETE":
+            h.discard(key)
+            continue
+        want[db, g] = key not in h and len(h) >= 2
+        if not want[db, g]:
+            h.add(key)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "entry_id long, db int, key binary, generation long, kind string").repartition(5)
+    got = maintenance.over_capacity(df, 2).collect()
+    assert len(got) == len(want) and {(r.db, r.generation): r.oom for r in got} == want
+    assert [g for (db, g), oom in want.items() if db == 0 and oom] == [3, 5, 8]
+
+
 def test_ranges_of_bytes(spark):
     def one(col):
         return bytes(spark.range(1).select(col).first()[0])
