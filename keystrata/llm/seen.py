@@ -5,8 +5,9 @@ The stream of (id, key) rows goes through three steps.
 1. Each map task takes its rows in chunks and settles repeats inside a chunk by the bytes of the key. Only the first row
    of a key in a chunk carries its key on; a hot key thus leaves each chunk once, whatever its share of the rows.
 2. First rows are hash-partitioned by key into buckets. A bucket reads its rows in the order of the ids and holds one
-   Bloom filter of 512-bit blocks (one bit in each of eight words): query, then insert. "Not there" is certain.
-3. "There" may be wrong, so those rows are compared, by the key's bytes, with the smallest id of their key.
+   Bloom filter of 512-bit blocks (one bit in each of eight words): query, then insert. "Not there" is certain, and the
+   answer for that row.
+3. "There" may be wrong, so those rows alone are compared, by the key's bytes, with the smallest id of their key.
 
 Memory of a task is its bucket's filter and one Arrow batch, never the keys. Filters can be kept and handed to the next
 call (`keep_state`, `state`).
@@ -215,10 +216,16 @@ def bloom_verdicts(
 
 
 def _exact(verdicts: DataFrame) -> DataFrame:
-    """Step 3. In: FIRST and MAYBE rows. Out: id, verdict, truly (the key has a row with a smaller id)."""
-    hits = verdicts.where(F.col("verdict") <= MAYBE).select("id", "key", "verdict")
-    first = F.min("id").over(Window.partitionBy("key"))
-    return hits.select("id", "verdict", (F.col("id") > first).alias("truly"))
+    """Step 3. In: FIRST and MAYBE rows. Out: id, verdict, truly (the key has a row with a smaller id).
+
+    FIRST rows are the filter's word. A MAYBE row is compared with the FIRST rows of its key, and with the other MAYBE rows, as
+    the key's first row may be among them.
+    """
+    first = verdicts.where(F.col("verdict") == FIRST)
+    maybe = verdicts.where(F.col("verdict") == MAYBE).select("id", "key", "verdict", F.min("id").over(Window.partitionBy("key")).alias("least"))
+    checked = maybe.join(first.groupBy("key").agg(F.min("id").alias("first")), "key", "left")
+    return first.select("id", "verdict", F.lit(False).alias("truly")).unionByName(
+        checked.select("id", "verdict", (F.col("id") > F.least("least", "first")).alias("truly")))
 
 
 def seen_before(df: DataFrame, id_col: str, key: Column, **how) -> DataFrame:

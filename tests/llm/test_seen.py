@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keystrata.llm.seen import BlockedBloom, bits_for, bloom_verdicts, false_positive_rate, seen_before, seen_errors
+from keystrata.llm.seen import FIRST, MAYBE, BlockedBloom, _exact, bits_for, bloom_verdicts, false_positive_rate, seen_before, seen_errors
 
 
 def brute(rows):
@@ -52,3 +52,10 @@ def test_kept_filters_know_earlier_keys(spark):
     got = {r.id: r.verdict for r in bloom_verdicts(new, "id", F.col("key"), expected_keys=1_000, buckets=4, state=state).collect()}
     assert all(got[i] == 1 for i in range(400, 500))
     assert sum(got[i] for i in range(500, 600)) <= 3
+
+
+def test_the_filter_settles_first_rows_and_only_hits_are_compared(spark):
+    # a: "not there" stands whatever else the table holds. b: a wrong "there" on the key's first row. c: a right one.
+    rows = [(1, b"a", FIRST), (2, b"a", FIRST), (3, b"b", MAYBE), (4, b"b", MAYBE), (5, b"c", FIRST), (6, b"c", MAYBE), (7, b"d", MAYBE)]
+    got = {r.id: r.truly for r in _exact(spark.createDataFrame(rows, "id long, key binary, verdict byte")).collect()}
+    assert got == {1: False, 2: False, 3: False, 4: True, 5: False, 6: True, 7: False}
