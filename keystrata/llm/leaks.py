@@ -4,7 +4,8 @@ Texts and passages are reduced to letters and digits (entities decoded, markup,
 blanks, so that spacing, line breaks within words, quoting and punctuation cannot matter. A window of `window` words with at
 most `errors` words altered, missing or followed by added ones holds an unaltered run of
 (window - errors) // (errors + 1) words; every such run of every passage is searched in the shard's index. Runs that occur
-are joined and extended to both sides, over at most `errors` faults, until they prove a window or fail to.
+are joined and extended to both sides, over at most `errors` faults, until they prove a window or fail to. What stands in place
+of an altered word or after a word may be of any length: it is looked for nearby first, then in the whole text.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from keystrata.session import ship
 #: A character entity, or a tag of HTML or BBCode.
 MARK = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});|</?[A-Za-z][^<>]{0,400}>|\[/?(?:quote|b|i|u|s|url|img|code|size|color|font|center|list|spoiler|\*)(?:=[^\[\]]{0,200})?\]", re.IGNORECASE)
 DROP = re.compile(r"[\W_]+")
-#: Bytes that may stand in the place of one altered word, or between a word and the next.
+#: Bytes in the place of one altered word, or between a word and the next, within which the next word is first looked for.
 GAP = 80
 
 
@@ -134,6 +135,58 @@ def _window(ws: list[bytes], text: bytes, b: int, e: int, x: int, y: int, need:
     return None
 
 
+def _far(ws: list[bytes], text: bytes, b: int, y: int, left: int, last: dict[bytes, int]) -> tuple[int, int]:
+    """As `_right`, over any distance, with the next fault at word b. `last` keeps where a run of words stands last in the text.
+
+    Of the places of a run the first is taken: what follows it in the text holds what follows the others.
+    """
+    best = (min(len(ws), b + left), y)
+    if left and b < len(ws):
+        got = _far(ws, text, b + 1, y, left - 1, last)
+        best = max(best, got, key=lambda g: g[0])
+        for k in (b, b + 1):
+            at, run = y, b""
+            for n in range(k, len(ws)):
+                run += ws[n]
+                if run not in last:
+                    last[run] = text.rfind(run)
+                if last[run] < at:
+                    break
+                at = text.find(run, at)
+                got = _far(ws, text, n + 1, at + len(run), left - 1, last)
+                if got[0] > best[0]:
+                    best = got
+    return best
+
+
+class FarText:
+    """A text and its mirror image, to look for windows with faults of any length."""
+
+    def __init__(self, text: bytes):
+        self.text, self.mirror = text, text[::-1]
+        self.last: tuple[dict[bytes, int], dict[bytes, int]] = {}, {}
+
+    def window(self, ws: list[bytes], b: int, e: int, x: int, y: int, need: int, errors: int) -> tuple[int, int] | None:
+        """As `_window`."""
+        right, back = ws[: b + need], [w[::-1] for w in reversed(ws[max(0, e - need) :])]
+        first = len(back) - (b - max(0, e - need))
+        for left in range(errors + 1):
+            before, used = self._reach(back, self.mirror, first, len(self.text) - x, left, self.last[1])
+            got, hi = self._reach(right, self.text, e, y, errors - left, self.last[0])
+            if before - first + got - b >= need:
+                return len(self.text) - used, hi
+        return None
+
+    @staticmethod
+    def _reach(ws: list[bytes], text: bytes, b: int, y: int, left: int, last: dict[bytes, int]) -> tuple[int, int]:
+        best = _far(ws, text, b, y, left, last)
+        while b < len(ws) and text.startswith(ws[b], y):
+            y += len(ws[b])
+            b += 1
+            best = max(best, _far(ws, text, b, y, left, last), key=lambda g: g[0])
+        return best
+
+
 def shard_hits(ids: list, texts: list[str], blocks: list[Passages]) -> Iterator[tuple]:
     """(id, item id, [(from, to), ...]) for the texts of one shard; spans are characters of the text, merged."""
     reduced = [reduce_text(t) for t in texts]
@@ -161,6 +214,7 @@ def shard_hits(ids: list, texts: list[str], blocks: list[Passages]) -> Iterator[
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (line[1:] != line[:-1]) | (word[1:] != word[:-1] + 1)])
         edges = [*np.flatnonzero(new).tolist(), len(doc)]
         spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        far, far_doc = None, -1
         for s, e in zip(edges, edges[1:]):
             d, k, b = int(doc[s]), int(item[s]), int(word[s])
             ws, end = p.words[k], int(word[e - 1]) + p.run[k]
@@ -169,7 +223,12 @@ def shard_hits(ids: list, texts: list[str], blocks: list[Passages]) -> Iterator[
             held = spans.setdefault((d, k), [])
             if any(lo_ <= x and y <= hi_ for lo_, hi_ in held):
                 continue
-            if got := _window(ws, reduced[d], b, end, x, y, p.need[k], p.errors[k]):
+            got = _window(ws, reduced[d], b, end, x, y, p.need[k], p.errors[k])
+            if got is None and p.errors[k]:
+                if d != far_doc:
+                    far, far_doc = FarText(reduced[d]), d
+                got = far.window(ws, b, end, x, y, p.need[k], p.errors[k])
+            if got:
                 held.append(got)
         offsets: dict[int, tuple] = {}
         for (d, k), held in spans.items():

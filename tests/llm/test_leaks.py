@@ -91,6 +91,20 @@ def test_planted_cases(spark):
     assert len(spans[0]) == 1 and text[0][one.start : one.end] == " ".join(passages[0])
 
 
+def test_added_words_of_any_length(spark):
+    p = words(20)
+    long = lambda: " ".join(words(300))
+    docs = [
+        " ".join([*p[:10], long(), *p[10:]]), " ".join([*p[:8], long(), *p[8:10], long(), *p[10:]]), " ".join([*p[:7], long(), *p[8:]]),  # within two faults
+        " ".join([*p[:3], long(), *p[3:6], long(), *p[6:]]), " ".join([*p[:14], long(), *p[14:17], long(), *p[17:]]),
+        " ".join([*p[:6], long(), *p[6:12], long(), *p[12:16], long(), *p[16:]]), " ".join([*p[:10], long()]), " ".join([*p[10:], long(), *p[:10]])]
+    table = spark.createDataFrame([*enumerate(docs)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(p))], "item_id long, passage string")
+    got = leaks(table, "doc_id", "text", items, "item_id", "passage").collect()
+    assert sorted(r.id for r in got) == [0, 1, 2, 3, 4]
+    assert all((s.start, s.end) == (0, len(docs[r.id])) for r in got if r.id < 2 for s in r.spans)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id string, passage string")
