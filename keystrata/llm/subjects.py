@@ -30,6 +30,9 @@ _LINE_TAG = re.compile(r"<br\s*/?>|</(?:p|div|li|tr|h[1-6])>|<(?:p|div|li|tr|h[1
 _RULE_TAG = re.compile(r"<hr\s*/?>|\[size=1\]", re.IGNORECASE)
 _ANY_TAG = re.compile(r"</?[A-Za-z][^<>]{0,400}>|\[/?[A-Za-z]+(?:=[^\[\]]{0,200})?\]")
 _SIGNATURE = re.compile(r"^\s*(?:-{2,}|~{3,}|_{5,}|\*{5,}|={5,})\s*$")
+#: Four lines of 80 characters.
+SIGNATURE_CHARS = 320
+_PARAGRAPH = re.compile(r"\n[ \t\r]*\n|</p>|<br\s*/?>\s*<br\s*/?>", re.IGNORECASE)
 _QUOTED = re.compile(r"^\s*(?:>|\|\s)")
 _ATTRIBUTION = re.compile(r"^\s*(?:\*\*)?.{1,60}\b(?:wrote|said|schrieb|escribió|a écrit|dijo|sagte)\s*:?\s*:?(?:\*\*)?\s*$", re.IGNORECASE)
 _EDIT = re.compile(r"^\s*[\[(*_]{0,3}\s*(?:last\s+)?(?:edit(?:ed)?|bearbeitet|editado|modifié|édité)\b\s*(?:by|on|:|von|por|par|am|le|el).*$", re.IGNORECASE)
@@ -38,36 +41,56 @@ _TOKEN = re.compile(r"[^\W_]+")
 _INVISIBLE = re.compile("[­​-‏ -‮⁠-⁤﻿]")
 
 
+def _without_quotes(text: str) -> str:
+    """`text` without quotes between tags, nested ones too. A quote that is never closed ends at the next paragraph break."""
+    open_, closed = [], []
+    for m in _QUOTE_TAG.finditer(text):
+        if m[0][1] != "/":
+            open_.append(m)
+        elif open_:
+            closed.append((open_.pop().start(), m.end()))
+    outer: list[tuple[int, int]] = []
+    for lo, hi in sorted(closed):
+        if not outer or lo >= outer[-1][1]:
+            outer.append((lo, hi))
+    spans = list(outer)
+    for m in open_:
+        end = next((p.start() for p in _PARAGRAPH.finditer(text, m.end()) if not any(lo <= p.start() < hi for lo, hi in outer)), len(text))
+        spans.append((m.start(), end))
+    at, kept = 0, []
+    for lo, hi in sorted(spans):
+        if hi > at:
+            kept += [text[at : max(at, lo)], "\n\n" if hi < len(text) or (lo, hi) in outer else ""]
+            at = hi
+    return "".join([*kept, text[at:]])
+
+
 def own_text(text: str) -> str:
-    """A post without quotes in any notation, its signature and edit notes; markup removed, entities decoded."""
+    """A post without quotes in any notation, its signature and edit notes; markup removed, entities decoded.
+
+    A line that is only a rule begins the signature if at most SIGNATURE_CHARS characters of own lines follow up to the end of
+    the text; else it divides sections.
+    """
     if "<" in text or "[" in text or "&" in text:
-        depth, at, kept = 0, 0, []
-        for m in _QUOTE_TAG.finditer(text):
-            if m[0][1] == "/":
-                if depth:
-                    depth -= 1
-                    if not depth:
-                        at = m.end()
-                        kept.append("\n\n")
-            else:
-                if not depth:
-                    kept.append(text[at : m.start()])
-                    at = m.start()
-                depth += 1
-        if not depth:
-            kept.append(text[at:])
-        text = "".join(kept)
-        text = _RULE_TAG.sub("\n--\n", text)
+        text = _RULE_TAG.sub("\n--\n", _without_quotes(text))
         text = html.unescape(_ANY_TAG.sub("", _LINE_TAG.sub("\n", text)))
     text = _INVISIBLE.sub("", text)
-    lines = []
+    lines, rules = [], []
     for line in text.split("\n"):
-        if _SIGNATURE.match(line) and any(x.strip() for x in lines):
-            break
+        if _SIGNATURE.match(line) and (rules or any(x.strip() for x in lines)):
+            rules.append(len(lines))
+            lines.append("")
+            continue
         if _QUOTED.match(line) or _EDIT.match(line) or _ATTRIBUTION.match(line):
             continue
         lines.append(line)
-    return "\n".join(lines)
+    end, after, at = len(lines), 0, len(lines)
+    for r in reversed(rules):
+        after += sum(len(x.strip()) for x in lines[r:at])
+        if after > SIGNATURE_CHARS:
+            break
+        end = at = r
+    return "\n".join(lines[:end])
 
 
 def own_paragraphs(text: str) -> list[list[str]]:

@@ -25,6 +25,15 @@ def test_own_words():
     assert own_paragraphs("One :-) Two. Three? \nFour") == [["One :-)", "Two.", "Three?", "Four"]]
 
 
+def test_own_words_after_rules_and_unclosed_quotes():
+    more = "The violin needs new strings. " * 20
+    for rule in ("--", "-----", "~~~", "_____", "*****", "=====", "<hr>", "[size=1]"):
+        assert own_text(f"One\n{rule}\n{more}\n{rule}\nviolin fan since 1990").split() == ["One", *more.split()], rule
+    assert own_text("One\n--\nfan of\n--\nviolins").strip() == "One"
+    assert own_text("[quote]a\n\nMine\n\n[quote]b\n\nc[/quote]Own").split() == ["Mine", "Own"]
+    assert own_text("Before <blockquote>a <blockquote>b</blockquote> c\n\nMine").split() == ["Before", "Mine"]
+
+
 def test_held_out_accuracy_with_dirty_labels(spark):
     rng = random.Random(7)
     docs, truth, labels = [], {}, []
