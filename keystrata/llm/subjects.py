@@ -3,8 +3,8 @@
 Quotes, signatures and edit notes are cut away, what is left is split into paragraphs and sentences. Weak labels come from
 the hand labels of some documents and, for others, from the section they stand in (their thread, where its labelled
 documents agree). The model is fitted on a bounded sample in rounds: each round labels the sample's sentences anew with the
-model of the round before, so wrong and missing labels wash out. Thresholds are then calibrated for each subject, and a
-document gets every subject with which at least two of its sentences deal.
+model of the round before, so wrong and missing labels wash out. Thresholds are then calibrated for each subject
+on all hand-labelled documents, and a document gets every subject with which at least two of its sentences deal.
 """
 
 from __future__ import annotations
@@ -238,7 +238,7 @@ def _targets(p: np.ndarray, hinted: np.ndarray, paragraph: np.ndarray) -> tuple[
 def train(docs: list[tuple[list[list[str]], set[str], float, int]], subjects: list[str], purity: float = 0.45, smooth: tuple[float, ...] = (4.0, 4.0, 3.0, 2.0, 2.0, 2.0, 2.0, 2.0)) -> Model:
     """A model from (paragraphs, subjects, weight, section) of sample documents; weight 0 for those without a label of any kind.
 
-    There is a round for each number in `smooth` (see `_select`).
+    There is a round for each number in `smooth` (see `_select`). Thresholds are 0.5 until `calibrate` has set them.
 
     Without any labelled sentence all weights are 0 and no document gets a subject.
     """
@@ -266,27 +266,60 @@ def train(docs: list[tuple[list[list[str]], set[str], float, int]], subjects: li
         keep = _select(occurrences, rows, y, w, purity, much)
         model = Model(subjects, _fit(idx, rows, y, w, keep, model and model.weights), np.full(k, 0.5))
         y, w = _targets(model.scores(idx, at), hinted, par)
-    model.thresholds = calibrate(model, [p for p, _, w, _ in docs if w >= 1], [ys for _, ys, w, _ in docs if w >= 1])
     return model
 
 
-def calibrate(model: Model, docs: list[list[list[str]]], truth: list[set[str]], grid=(0.3, 0.4, 0.5, 0.6, 0.7)) -> np.ndarray:
-    """For each subject the threshold with the best F1 on hand-labelled documents; 0.5 in a tie and without documents."""
+def tally(spark, model: Model, labelled: DataFrame, grid: tuple[float, ...]) -> np.ndarray:
+    """Of hand-labelled documents (text, subjects as the model names them), for each threshold and subject: documents judged to
+    have it, judged so and labelled so, labelled so. Documents are read whole on the executors; only sums come back.
+    """
+    k = len(model.subjects)
+    used = np.flatnonzero(model.weights.any(axis=1)).astype(np.int32)
+    shared = spark.sparkContext.broadcast((model.subjects, used, model.weights[used]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, used, weights = shared.value
+        full = np.zeros((1 << BITS, k), dtype=np.float32)
+        full[used] = weights
+        sums = np.zeros((len(grid), 3, k), dtype=np.int64)
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                scored = score_documents(Model(names, full, np.full(k, 0.5)), [own_paragraphs(t) for t in part["text"].to_pylist()])
+                y = np.array([[s in ys for s in names] for ys in part["subjects"].to_pylist()]).reshape(-1, k)
+                for i, t in enumerate(grid):
+                    trial = Model(names, full, np.full(k, t))
+                    hit = np.array([trial.counts(p) for p in scored]).reshape(-1, k) >= 2
+                    sums[i] += np.stack([hit.sum(axis=0), (hit & y).sum(axis=0), y.sum(axis=0)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size, dtype=np.int32)), pa.array(sums.ravel())], names=["place", "n"])
+
+    out = np.zeros((len(grid), 3, k), dtype=np.int64)
+    for r in labelled.select("text", "subjects").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        out.ravel()[r.place] = r.n
+    shared.unpersist()
+    return out
+
+
+def calibrate(spark, model: Model, labelled: DataFrame, grid: tuple[float, ...] = (0.3, 0.4, 0.5, 0.6, 0.7)) -> np.ndarray:
+    """For each subject the threshold with the best F1 on all hand-labelled documents (see `tally`); 0.5 in a tie and without documents."""
     k = len(model.subjects)
-    if not docs:
-        return np.full(k, 0.5)
-    scored = score_documents(model, docs)
-    y = np.array([[s in ys for s in model.subjects] for ys in truth])
     best, out = np.full(k, -1.0), np.full(k, 0.5)
+    sums = tally(spark, model, labelled, grid)
     for t in sorted(grid, key=lambda t: abs(t - 0.5)):
-        trial = Model(model.subjects, model.weights, np.full(k, t))
-        hit = np.array([trial.counts(p) for p in scored]) >= 2
-        f1 = 2 * (hit & y).sum(axis=0) / np.maximum(1, hit.sum(axis=0) + y.sum(axis=0))
+        hit, both, said = sums[grid.index(t)]
+        f1 = 2 * both / np.maximum(1, hit + said)
         better = f1 > best + 0.01
         best, out = np.where(better, f1, best), np.where(better, t, out)
     return out
 
 
+def hand_labelled(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, label_col: str, subjects: list[str]) -> DataFrame:
+    """(text, subjects): every document with a hand label among `subjects`."""
+    said = labels.select(F.col(label_id).alias("id"), F.lower(F.trim(label_col)).alias("subject")).where(F.col("id").isNotNull() & F.col("subject").isin(subjects))
+    said = said.groupBy("id").agg(F.collect_set("subject").alias("subjects"))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(said, "id").select("text", "subjects")
+
+
 def score_documents(model: Model, docs: list[list[list[str]]]) -> list[list[np.ndarray]]:
     """Sentence scores of each document's paragraphs."""
     p = model.scores(*features([s for ps in docs for p in ps for s in p]))
@@ -346,7 +379,8 @@ def subject_counts(
 ) -> DataFrame:
     """(id, subject, sentences): the subjects with which at least `least` of a document's own sentences deal.
 
-    Only the fit is made on a sample (see `sample` for its bounds); every document is read whole and judged. Subjects come out as
+    Only the fit is made on a sample (see `sample` for its bounds); thresholds are calibrated on every hand-labelled document, and
+    every document is read whole and judged. Subjects come out as
     `areas` spells them, labels of other subjects are ignored. Null, empty and blank texts have no subject, nor has anything
     if there are no labels or no areas. Repeated ids are judged row by row. The driver holds the sample and a model of
     2**18 weights for each subject; more than `max_subjects` subjects are an error.
@@ -362,6 +396,8 @@ def subject_counts(
     taken = sample(docs, id_col, text_col, section_col, labels, label_id, label_col, **how).collect() if subjects else []
     rows = sorted(((r.paragraphs, set(r.subjects) & set(subjects), r.weight, r.section) for r in taken), key=lambda r: (r[3], r[0]))
     model = train([(p, y, w if y else 0.0, g) for p, y, w, g in rows], subjects)
+    if model.weights.any():
+        model.thresholds = calibrate(spark, model, hand_labelled(docs, id_col, text_col, labels, label_id, label_col, subjects))
     used = np.flatnonzero(model.weights.any(axis=1)).astype(np.int32)
     shared = spark.sparkContext.broadcast((used, model.weights[used], model.thresholds))
     id_type = docs.schema[id_col].dataType.simpleString()

@@ -1,5 +1,6 @@
 import random
 
+from keystrata.llm import subjects as areas_of
 from keystrata.llm.subjects import own_paragraphs, own_text, subject_counts
 
 TERMS = {
@@ -80,3 +81,17 @@ def test_nothing_to_learn_from(spark):
     assert subject_counts(d, "doc_id", "text", "thread_id", no, "doc_id", "subject", areas, "subject").count() == 0
     assert subject_counts(d.where("false"), "doc_id", "text", "thread_id", no, "doc_id", "subject", areas, "subject").count() == 0
     assert subject_counts(d, "doc_id", "text", "thread_id", no, "doc_id", "subject", areas.where("false"), "subject").count() == 0
+
+
+def test_thresholds_come_from_all_labelled_documents(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = [(i, post(rng, [*TERMS][i % 3], 4), i // 6) for i in range(120)] + [(120, None, 1)]
+    labels = [(i, [*TERMS][i % 3]) for i in range(0, 120, 2)] + [(0, " LAW"), (120, "sport"), (1, "astrology"), (None, "Law")]
+    seen = []
+    whole = getattr(areas_of, "tally", None)
+    monkeypatch.setattr(areas_of, "tally", lambda *a: seen.append(whole(*a)) or seen[-1], raising=False)
+    args = (spark.createDataFrame(docs, "doc_id long, text string, thread_id long").repartition(3), "doc_id", "text", "thread_id",
+        spark.createDataFrame(labels, "doc_id long, subject string"), "doc_id", "subject", spark.createDataFrame([(s,) for s in TERMS], "subject string"), "subject")
+    got = subject_counts(*args, hand_docs=12, other_docs=0).collect()
+    assert got and seen and (seen[0][:, 2].sum(axis=1) == 60).all()  # five times the documents of the fit
+    assert (seen[0][:, 1] <= seen[0][:, 0]).all() and (seen[0][:, 1] <= seen[0][:, 2]).all()
