@@ -298,6 +298,13 @@ def kv_export_shard(spark, sf):
     return state(spark, sf).select(F.conv(F.substring(F.md5("key"), 1, 2), 16, 10).cast("int").alias("shard")).groupBy("shard").agg(F.count("*").alias("n"))
 
 
+@query(f"""SELECT CAST(('0x' || substr(md5(key), 1, 2)) AS INTEGER) AS shard, db, lower(hex(key)) AS key_hex, lower(hex(value)) AS value_hex FROM ({LIVE})""")
+def kv_export_pairs(spark, sf):
+    """Live keys and values of all storage shards; `kv_export_shard` counts them."""
+    shard = F.conv(F.substring(F.md5("key"), 1, 2), 16, 10).cast("int").alias("shard")
+    return state(spark, sf).select(shard, "db", key_hex(F.col("key")).alias("key_hex"), _hex("value").alias("value_hex"))
+
+
 @query(f"SELECT CAST(coalesce(sum(octet_length(key) + coalesce(octet_length(value), 0)), 0) AS BIGINT) AS used_memory, CASE WHEN coalesce(sum(octet_length(key) + coalesce(octet_length(value), 0)), 0) < 1024 THEN 'x' ELSE printf('%.2fK', sum(octet_length(key) + coalesce(octet_length(value), 0)) / 1024.0) END AS used_memory_k FROM ({LIVE})")
 def kv_memory(spark, sf):
     return stats.memory(state(spark, sf)).select("used_memory", F.format_string("%.2fK", F.col("used_memory") / 1024.0).alias("used_memory_k"))

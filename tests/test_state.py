@@ -241,3 +241,13 @@ def test_lookups_keep_order_and_repeats(spark):
         if not cursor:
             break
     assert pages == [f"k{i:02d}".encode() for i in range(23)]
+
+
+def test_exported_pairs_are_the_live_state(spark):
+    from keystrata.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    q = catalog.QUERIES
+    pairs = q["kv_export_pairs"](spark, sf).collect()
+    assert sorted((r.db, r.key_hex, r.value_hex or "") for r in pairs) == sorted((r.db, r.key_hex, r.value_hex or "") for r in q["kv_lww_state"](spark, sf).collect())
+    assert {r.shard: r.n for r in q["kv_export_shard"](spark, sf).collect()} == {s: sum(r.shard == s for r in pairs) for s in {r.shard for r in pairs}}
