@@ -251,3 +251,13 @@ def test_exported_pairs_are_the_live_state(spark):
     pairs = q["kv_export_pairs"](spark, sf).collect()
     assert sorted((r.db, r.key_hex, r.value_hex or "") for r in pairs) == sorted((r.db, r.key_hex, r.value_hex or "") for r in q["kv_lww_state"](spark, sf).collect())
     assert {r.shard: r.n for r in q["kv_export_shard"](spark, sf).collect()} == {s: sum(r.shard == s for r in pairs) for s in {r.shard for r in pairs}}
+
+
+def test_setrange_pads_short_values_and_keeps_long_tails(spark, tmp_path):
+    from keystrata.plans import catalog
+
+    names = ["", "a", "abc", "abcde", "abcdef", "n" * 41, "m" * 60]
+    spark.createDataFrame([*enumerate(names)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    put = lambda v, at, x: v[:at].ljust(at, b"\0") + x + v[at + len(x) :]
+    got = {r.p_partkey: (r.over_, r.padded_hex) for r in catalog.QUERIES["kv_setrange"](spark, str(tmp_path)).collect()}
+    assert got == {i: (put(n.encode(), 3, b"XY").decode(), put(n.encode(), 40, b"z").hex().upper()) for i, n in enumerate(names)}
