@@ -14,13 +14,11 @@ def suffix_array(t: np.ndarray, sep_after: np.ndarray) -> np.ndarray:
     suffixes that are still tied are sorted again, by the rank of what follows, with doubled length each time.
     """
     n = len(t)
-    padded = np.concatenate([t, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, dtype=np.uint64)
-    open_ = np.ones(n, dtype=bool)
-    for i in range(8):
-        b = padded[i : i + n]
-        key = (key << np.uint64(8)) | np.where(open_, b, np.uint64(0))
-        open_ &= b != SEP
+    padded = np.concatenate([t, np.zeros(8, dtype=np.uint8)])
+    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[:n])
+    left = np.minimum(sep_after - np.arange(n), 8)  # bytes up to the separator; what follows it doesn't count
+    masks = np.array([((1 << 64) - 1) ^ ((1 << 8 * (8 - k)) - 1) for k in range(9)], dtype=np.uint64)
+    key = eight.view(">u8").ravel().astype(np.uint64) & masks[left]
     seps = np.flatnonzero(t == SEP)
     key[seps] = np.arange(len(seps), dtype=np.uint64)
     sa = np.argsort(key)

@@ -24,15 +24,41 @@ from pyspark.sql.pandas.types import to_arrow_type
 from keystrata.llm.fmindex import FMIndex
 from keystrata.session import ship
 
-#: A character entity, or a tag of HTML or BBCode.
-MARK = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});|</?[A-Za-z][^<>]{0,400}>|\[/?(?:quote|b|i|u|s|url|img|code|size|color|font|center|list|spoiler|\*)(?:=[^\[\]]{0,200})?\]", re.IGNORECASE)
+#: What is not text: a character entity (escaped any number of times), a tag of HTML, a tag of BBCode, the address of a Markdown
+#: link. A tag may be of any length if its attributes are well formed; up to 400 characters anything may
+#: stand in it, but no blank before its end, where a `>` may begin a quoted line.
+MARK = re.compile(
+    r"""&(?:amp;)*+(?:\#\d{1,7}|\#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});
+    |</?[A-Za-z][\w:-]*+(?:\s++[\w:.@-]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s<>"']*+))?+)*+\s*+/?>
+    |</?[A-Za-z][^<>]{0,400}(?<!\s)>
+    |\[/?(?:quote|b|i|u|s|url|img|code|size|color|font|center|list|spoiler|\*)(?:=[^\[\]]*+)?\]
+    |\]\((?:https?:|www\.|mailto:|[/\#])[^()\s]*+(?:\s++"[^"]*+")?\)""",
+    re.IGNORECASE | re.VERBOSE)
+_AMP = re.compile("(?:amp;)+", re.IGNORECASE)
 DROP = re.compile(r"[\W_]+")
 #: Bytes in the place of one altered word, or between a word and the next, within which the next word is first looked for.
 GAP = 80
 
 
 def _mark(m: re.Match) -> str:
-    return html.unescape(m[0]) if m[0][0] == "&" else ""
+    """What a mark stands for: the character of an entity, nothing else."""
+    if m[0][0] != "&":
+        return ""
+    return html.unescape("&" + (_AMP.sub("", m[0][1:], 1) or "amp;"))
+
+
+def _may_mark(text: str) -> bool:
+    return "&" in text or "<" in text or "[" in text or "](" in text
+
+
+def _unmark(text: str) -> str:
+    """`text` without marks. What was escaped may be markup itself, so it goes on until nothing is left to take away."""
+    while _may_mark(text):
+        less = MARK.sub(_mark, text)
+        if len(less) >= len(text):
+            return less
+        text = less
+    return text
 
 
 def _fold(s: str) -> str:
@@ -43,29 +69,45 @@ def _fold(s: str) -> str:
 
 def reduce_text(text: str) -> bytes:
     """Letters and digits of a text, folded, without anything between them."""
-    if "&" in text or "<" in text or "[" in text:
-        text = MARK.sub(_mark, text)
-    return _fold(text).encode()
+    return _fold(_unmark(text)).encode()
+
+
+class _Folded(dict):
+    """The reduced bytes of single characters."""
+
+    def __missing__(self, c: str) -> bytes:
+        b = _fold(c).encode()
+        if len(self) < 100_000:
+            self[c] = b
+        return b
+
+
+_folded = _Folded()
 
 
-def reduce_with_offsets(text: str) -> tuple[bytes, list[int], list[int]]:
+def reduce_with_offsets(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
     """As `reduce_text`, with the first and one past the last character of `text` that each byte comes from."""
-    out, begin, end = bytearray(), [], []
-
-    def put(s: str, lo: int, hi: int) -> None:
-        b = _fold(s).encode()
-        out.extend(b)
-        begin.extend([lo] * len(b))
-        end.extend([hi] * len(b))
-
-    at = 0
-    for m in [*MARK.finditer(text), None]:
-        for i in range(at, m.start() if m else len(text)):
-            put(text[i], i, i + 1)
-        if m:
-            put(_mark(m), m.start(), m.end())
+    begin = np.arange(len(text))
+    end = begin + 1
+    while _may_mark(text):
+        out, lo, hi, at = [], [], [], 0
+        for m in MARK.finditer(text):
+            said = _mark(m)
+            out += [text[at : m.start()], said]
+            lo += [begin[at : m.start()], np.repeat(begin[m.start()], len(said))]
+            hi += [end[at : m.start()], np.repeat(end[m.end() - 1], len(said))]
             at = m.end()
-    return bytes(out), begin, end
+        if not at:
+            break
+        less = "".join([*out, text[at:]])
+        begin, end = np.concatenate([*lo, begin[at:]]), np.concatenate([*hi, end[at:]])
+        done = len(less) >= len(text)
+        text = less
+        if done:
+            break
+    each = [_folded[c] for c in text]
+    n = np.fromiter(map(len, each), np.int64, len(each))
+    return b"".join(each), np.repeat(begin, n), np.repeat(end, n)
 
 
 class Passages:
@@ -73,7 +115,7 @@ class Passages:
 
     def __init__(self, items: list[tuple], window: int, errors: int):
         self.ids = [i for i, _ in items]
-        self.words = [[w for w in (_fold(x).encode() for x in MARK.sub(_mark, p or "").split()) if w] for _, p in items]
+        self.words = [[w for w in (_fold(x).encode() for x in _unmark(p or "").split()) if w] for _, p in items]
         self.begin = [np.concatenate([[0], np.cumsum([len(w) for w in ws])]).astype(np.int64) for ws in self.words]
         at: dict[bytes, list[tuple[int, int]]] = {}
         self.need = [min(window, len(ws)) for ws in self.words]
@@ -92,6 +134,8 @@ class Passages:
         self.offset = np.concatenate([[0], np.cumsum(self.count)]).astype(np.int64)
         self.item = np.fromiter((k for x in keys for k, _ in at[x]), np.int64)
         self.word = np.fromiter((j for x in keys for _, j in at[x]), np.int64)
+        own = np.cumsum([0, *(len(b) for b in self.begin)])
+        self.place = np.concatenate([*self.begin, np.zeros(0, np.int64)])[own[self.item] + self.word] if len(keys) else np.zeros(0, np.int64)
 
 
 def _right(ws: list[bytes], text: bytes, b: int, y: int, left: int) -> tuple[int, int]:
@@ -205,10 +249,10 @@ def shard_hits(ids: list, texts: list[str], blocks: list[Passages]) -> Iterator[
         each = p.count[pattern]
         which = np.repeat(p.offset[pattern] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(each.sum())
         at = np.repeat(at, each)
-        item, word = p.item[which], p.word[which]
+        item, word, place = p.item[which], p.word[which], p.place[which]
         doc = index.text_of(at)
         at = at - index.starts[doc]
-        line = at - np.fromiter((p.begin[k][j] for k, j in zip(item, word)), np.int64, len(item))
+        line = at - place
         order = np.lexsort((word, line, item, doc))
         doc, item, word, at, line = (a[order] for a in (doc, item, word, at, line))
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (line[1:] != line[:-1]) | (word[1:] != word[:-1] + 1)])
@@ -242,7 +286,7 @@ def shard_hits(ids: list, texts: list[str], blocks: list[Passages]) -> Iterator[
                         merged[-1][1] = max(merged[-1][1], hi_)
                     else:
                         merged.append([lo_, hi_])
-                yield ids[d], p.ids[k], [(begin[lo_], end_[hi_ - 1]) for lo_, hi_ in merged]
+                yield ids[d], p.ids[k], [(int(begin[lo_]), int(end_[hi_ - 1])) for lo_, hi_ in merged]
 
 
 def leaks(

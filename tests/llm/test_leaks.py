@@ -36,7 +36,7 @@ def test_wavelet_ranks():
 
 
 def test_reduction_keeps_offsets():
-    for t in ["Caf&eacute;  <b>Ünï</b>​code-\nd", "[quote=\"x\"]A&B[/quote] &amp; ﬁne ＡＢ", "", "&#233;&bogus;"]:
+    for t in ["Caf&eacute;  <b>Ünï</b>​code-\nd", "[quote=\"x\"]A&B[/quote] &amp; ﬁne ＡＢ", "", "&#233;&bogus;", "&amp;amp;#101;x&amp;lt;b&amp;gt;y", "a [w](https://x.y/z) & 5 < 6 <b <i>", "&" * 9 + "amp;"]:
         b, begin, end = reduce_with_offsets(t)
         assert b == reduce_text(t) and len(b) == len(begin) == len(end)
         assert all(0 <= x < y <= len(t) for x, y in zip(begin, end))
@@ -105,6 +105,22 @@ def test_added_words_of_any_length(spark):
     assert all((s.start, s.end) == (0, len(docs[r.id])) for r in got if r.id < 2 for s in r.spans)
 
 
+def test_markup_of_any_length_and_escaped_twice(spark):
+    p = words(20)
+    head, tail = " ".join(p[:10]), " ".join(p[10:])
+    address = lambda n: "https://example.org/" + "ab-cd/" * (n // 6)
+    docs = [f'{head} <a class="x" href="{address(n)}" rel=nofollow>{tail}</a>' for n in (500, 5_000, 50_000)]
+    docs += [f"{head[:-1]}[url={address(n)}]{head[-1]}[/url] {tail}" for n in (500, 5_000)] + [f"[{head}]({address(900)}) [{tail}]({address(900)})"]
+    docs += ["".join(f"&{'amp;' * k}#{ord(c)};" if i % 3 == 0 else c for i, c in enumerate(f"{head} {tail}")) for k in (1, 2, 9)]
+    docs += [f"&lt;b&gt;{head}&lt;/b&gt; &amp;lt;i class='q'&amp;gt;{tail}"]
+    docs += [f"i <think, {head}\n> {tail}", f"{head} {' '.join(words(40))} {tail}", f"{head} {' '.join(words(400))} {tail}"]
+    table = spark.createDataFrame([*enumerate(docs)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(p))], "item_id long, passage string")
+    got = leaks(table, "doc_id", "text", items, "item_id", "passage").collect()
+    assert sorted(r.id for r in got) == [*range(len(docs))]
+    assert all(0 <= s.start < s.end <= len(docs[r.id]) for r in got for s in r.spans)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id string, passage string")
