@@ -51,11 +51,15 @@ def record_bytes():
     return F.when(ok, F.ceil((F.lit(32) + F.col("key_len") + F.col("value_len")) / RECORD_UNIT) * RECORD_UNIT)
 
 
+def _room(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "wblock_meta").select(
+        F.col("db").alias("grp"), F.concat_ws("/", "file_id", "wblock_id").alias("bin"), F.col("bytes_used").alias("used"))
+
+
 def _packed(spark: SparkSession, sf: str) -> DataFrame:
     from keystrata.llm.packing import pack
 
-    blocks = table(spark, sf, "wblock_meta").select(
-        F.col("db").alias("grp"), F.concat_ws("/", "file_id", "wblock_id").alias("bin"), F.col("bytes_used").alias("used"))
+    blocks = _room(spark, sf)
     return pack(table(spark, sf, "record_headers"), "record_id", F.col("db"), record_bytes(), BLOCK_BYTES, unit=RECORD_UNIT, open_bins=blocks)
 
 
@@ -69,6 +73,19 @@ def p5_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing_fill(_packed(spark, sf), BLOCK_BYTES).withColumnRenamed("grp", "db")
 
 
+def p5_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """What every packing must keep: all records and bytes of each db are placed, nothing is overfull, shared or divided, and the new blocks are
+    at most a fifth, and two for each shard of 50,000 records, more than the least number that any packing needs.
+    """
+    from keystrata.llm.packing import packing_faults, packing_fill
+    from keystrata.session import materialize
+
+    packed = materialize(_packed(spark, sf), "p5")
+    fill = packing_fill(packed, BLOCK_BYTES).withColumn("loose", F.col("new_bins") > 1.2 * F.col("bound") + 2 * F.ceil(F.col("items") / 50_000))
+    faults = packing_faults(packed, BLOCK_BYTES, _room(spark, sf)).withColumnRenamed("grp", "g")
+    return fill.join(faults, F.col("grp").eqNullSafe(F.col("g"))).select(F.col("grp").alias("db"), "items", "bytes", "overfull", "shared", "divided", "loose")
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     from keystrata.llm.tokens import encode_corpus
 
@@ -114,9 +131,11 @@ _MESSAGE_KEYS = """
   WHERE octet_length(k) > 0"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_error_rate, p3_found, p3_counts, p5_found, p5_fill, p6_ids, p7_found, p7_removal_spans, p8_found, p8_composition)
+    f.__name__: f for f in (p1_found, p1_error_rate, p3_found, p3_counts, p5_found, p5_fill, p5_limits, p6_ids, p7_found, p7_removal_spans, p8_found, p8_composition)
 }
 SQL: dict[str, str] = {
+    "p5_limits": """SELECT db, count(*) AS items, CAST(sum((32 + key_len + value_len + 127) // 128 * 128) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS overfull,
+      CAST(0 AS BIGINT) AS shared, CAST(0 AS BIGINT) AS divided, FALSE AS loose FROM record_headers WHERE key_len >= 0 AND value_len >= 0 GROUP BY db""",
     "p5_found": "SELECT record_id FROM record_headers WHERE key_len >= 0 AND value_len >= 0 AND (32 + key_len + value_len + 127) // 128 * 128 > 1048560",
     "p1_found": f"WITH m AS ({_MESSAGE_KEYS}) SELECT msg_id FROM (SELECT msg_id, min(msg_id) OVER (PARTITION BY k) AS f FROM m) WHERE msg_id > f",
     "p3_found": f"WITH m AS ({_MESSAGE_KEYS}) SELECT lower(hex(k)) AS key_hex FROM m GROUP BY k HAVING count(*) >= 0.003 * (SELECT count(*) FROM m)",
