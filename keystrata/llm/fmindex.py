@@ -21,23 +21,25 @@ def suffix_array(t: np.ndarray, sep_after: np.ndarray) -> np.ndarray:
     key = eight.view(">u8").ravel().astype(np.uint64) & masks[left]
     seps = np.flatnonzero(t == SEP)
     key[seps] = np.arange(len(seps), dtype=np.uint64)
-    sa = np.argsort(key)
+    sa = np.argsort(key).astype(np.int32)
     sorted_key = key[sa]
-    new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, dtype=np.int64)
-    rank[sa] = start
-    tied = np.flatnonzero(~(new & np.concatenate([new[1:], [True]])))
+    first = np.ones(n + 1, dtype=bool)  # the first of its group of equal ones
+    np.not_equal(sorted_key[1:], sorted_key[:-1], out=first[1:n])
+    tied = np.flatnonzero(~(first[:-1] & first[1:])).astype(np.int32)
+    start = np.flatnonzero(first[:-1]).astype(np.int32)
+    rank = np.empty(n, dtype=np.int32)
+    rank[sa] = np.repeat(start, np.diff(np.append(start, n)))
     h = 8
     while len(tied):
         sub = sa[tied]
-        both = rank[sub] * (n + 1) + rank[np.minimum(sub + h, sep_after[sub])]
+        both = (rank[sub].astype(np.int64) << 32) | rank[np.minimum(sub.astype(np.int64) + h, sep_after[sub])]
         order = np.argsort(both)
         sub, both = sub[order], both[order]
         sa[tied] = sub
-        new = np.concatenate([[True], both[1:] != both[:-1]])
-        rank[sub] = np.maximum.accumulate(np.where(new, tied, 0))
-        tied = tied[~(new & np.concatenate([new[1:], [True]]))]
+        new = np.ones(len(sub) + 1, dtype=bool)
+        np.not_equal(both[1:], both[:-1], out=new[1:-1])
+        rank[sub] = np.maximum.accumulate(np.where(new[:-1], tied, 0))
+        tied = tied[~(new[:-1] & new[1:])]
         h *= 2
     return sa
 

@@ -61,22 +61,28 @@ def _unmark(text: str) -> str:
     return text
 
 
-def _fold(s: str) -> str:
+_LOWER = bytes(range(128)).lower() + bytes(range(128, 256))
+_NEITHER = bytes(i for i in range(128) if not chr(i).isalnum())
+
+
+def _fold(s: str) -> bytes:
+    """Letters and digits alone: compatible forms, marks and case taken away."""
     if not s.isascii():
-        s = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", s).casefold())
-    return DROP.sub("", s.lower())
+        s = DROP.sub("", unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", s).casefold()).lower())
+        return s.encode()
+    return s.encode().translate(_LOWER, _NEITHER)
 
 
 def reduce_text(text: str) -> bytes:
     """Letters and digits of a text, folded, without anything between them."""
-    return _fold(_unmark(text)).encode()
+    return _fold(_unmark(text))
 
 
 class _Folded(dict):
     """The reduced bytes of single characters."""
 
     def __missing__(self, c: str) -> bytes:
-        b = _fold(c).encode()
+        b = _fold(c)
         if len(self) < 100_000:
             self[c] = b
         return b
@@ -115,7 +121,7 @@ class Passages:
 
     def __init__(self, items: list[tuple], window: int, errors: int):
         self.ids = [i for i, _ in items]
-        self.words = [[w for w in (_fold(x).encode() for x in _unmark(p or "").split()) if w] for _, p in items]
+        self.words = [[w for w in (_fold(x) for x in _unmark(p or "").split()) if w] for _, p in items]
         self.begin = [np.concatenate([[0], np.cumsum([len(w) for w in ws])]).astype(np.int64) for ws in self.words]
         at: dict[bytes, list[tuple[int, int]]] = {}
         self.need = [min(window, len(ws)) for ws in self.words]
