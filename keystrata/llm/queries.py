@@ -112,7 +112,7 @@ def _subjects(spark: SparkSession, sf: str) -> DataFrame:
     from keystrata.llm.subjects import subject_counts
 
     return subject_counts(
-        table(spark, sf, "documents"), "doc_id", "text", "thread_id", table(spark, sf, "subject_labels"), "doc_id", "subject",
+        table(spark, sf, "documents"), "doc_id", "text", ["thread_id", "source"], table(spark, sf, "subject_labels"), "doc_id", "subject",
         table(spark, sf, "subject_areas"), "subject")
 
 

@@ -1,9 +1,10 @@
 """Subject areas of documents: one-versus-rest linear classifiers over hashed word n-grams of a document's own sentences.
 
 Quotes, signatures and edit notes are cut away, what is left is split into paragraphs and sentences. Weak labels come from
-the hand labels of some documents and, for others, from the section they stand in (their thread, where its labelled
+the hand labels of some documents and, for others, from the sections they stand in (their thread or board, where its labelled
 documents agree). The model is fitted on a bounded sample in rounds: each round labels the sample's sentences anew with the
-model of the round before, so wrong and missing labels wash out. Thresholds are then calibrated for each subject
+model of the round before, so wrong and missing labels wash out. Words that no labelled document has are reached through the
+paragraphs in which they stand with known ones. Thresholds are then calibrated for each subject
 on all hand-labelled documents, and a document gets every subject with which at least two of its sentences deal.
 """
 
@@ -13,13 +14,12 @@ import html
 import re
 import unicodedata
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.session import ship
@@ -29,15 +29,18 @@ _QUOTE_TAG = re.compile(r"<blockquote\b[^>]*>|</blockquote>|\[quote(?:=[^\]]*)?\
 _LINE_TAG = re.compile(r"<br\s*/?>|</(?:p|div|li|tr|h[1-6])>|<(?:p|div|li|tr|h[1-6])\b[^>]*>", re.IGNORECASE)
 _RULE_TAG = re.compile(r"<hr\s*/?>|\[size=1\]", re.IGNORECASE)
 _ANY_TAG = re.compile(r"</?[A-Za-z][^<>]{0,400}>|\[/?[A-Za-z]+(?:=[^\[\]]{0,200})?\]")
-_SIGNATURE = re.compile(r"^\s*(?:-{2,}|~{3,}|_{5,}|\*{5,}|={5,})\s*$")
+_BLANK = r"[^\S\n]*"
+_SIGNATURE = re.compile(rf"^{_BLANK}(?:-{{2,}}|~{{3,}}|_{{5,}}|\*{{5,}}|={{5,}}){_BLANK}$", re.MULTILINE)
 #: Four lines of 80 characters.
 SIGNATURE_CHARS = 320
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n|</p>|<br\s*/?>\s*<br\s*/?>", re.IGNORECASE)
-_QUOTED = re.compile(r"^\s*(?:>|\|\s)")
-_ATTRIBUTION = re.compile(r"^\s*(?:\*\*)?.{1,60}\b(?:wrote|said|schrieb|escribió|a écrit|dijo|sagte)\s*:?\s*:?(?:\*\*)?\s*$", re.IGNORECASE)
-_EDIT = re.compile(r"^\s*[\[(*_]{0,3}\s*(?:last\s+)?(?:edit(?:ed)?|bearbeitet|editado|modifié|édité)\b\s*(?:by|on|:|von|por|par|am|le|el).*$", re.IGNORECASE)
+#: Lines that are quoted, say when a post was edited, or who is quoted.
+_NOT_OWN = re.compile(rf"""^{_BLANK}(?:(?:>|\|(?:\s|$)).*
+    |[\[(*_]{{0,3}}{_BLANK}(?:last[^\S\n]+)?(?:edit(?:ed)?|bearbeitet|editado|modifié|édité)\b{_BLANK}(?:by|on|:|von|por|par|am|le|el).*
+    |(?:\*\*)?[^\n]{{1,60}}\b(?:wrote|said|schrieb|escribió|a[ ]écrit|dijo|sagte){_BLANK}:?{_BLANK}:?(?:\*\*)?{_BLANK}$)\n?""",
+    re.IGNORECASE | re.MULTILINE | re.VERBOSE)
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])[\s\"')\]*_]*\s+|(?<=:-\))\s+|(?<=:\))\s+|\n+|(?<=[。！？])")
-_TOKEN = re.compile(r"[^\W_]+")
+_TOKEN = re.compile(r"[^\W_]+|\n")
 _INVISIBLE = re.compile("[­​-‏ -‮⁠-⁤﻿]")
 
 
@@ -74,16 +77,14 @@ def own_text(text: str) -> str:
     if "<" in text or "[" in text or "&" in text:
         text = _RULE_TAG.sub("\n--\n", _without_quotes(text))
         text = html.unescape(_ANY_TAG.sub("", _LINE_TAG.sub("\n", text)))
-    text = _INVISIBLE.sub("", text)
-    lines, rules = [], []
-    for line in text.split("\n"):
-        if _SIGNATURE.match(line) and (rules or any(x.strip() for x in lines)):
-            rules.append(len(lines))
-            lines.append("")
-            continue
-        if _QUOTED.match(line) or _EDIT.match(line) or _ATTRIBUTION.match(line):
-            continue
-        lines.append(line)
+    text = _NOT_OWN.sub("", _INVISIBLE.sub("", text))
+    if not _SIGNATURE.search(text):
+        return text
+    lines, rules = text.split("\n"), []
+    for i, line in enumerate(lines):
+        if _SIGNATURE.match(line) and (rules or any(x.strip() for x in lines[:i])):
+            rules.append(i)
+            lines[i] = ""
     end, after, at = len(lines), 0, len(lines)
     for r in reversed(rules):
         after += sum(len(x.strip()) for x in lines[r:at])
@@ -103,19 +104,17 @@ def own_paragraphs(text: str) -> list[list[str]]:
     return out
 
 
-_hashes: dict[str, int] = {}
+class _Hashes(dict):
+    """The hash of each word, below 2**32; 2**32 for the end of a sentence."""
 
+    def __missing__(self, w: str) -> int:
+        h = zlib.crc32(w.encode())
+        if len(self) < 500_000:
+            self[w] = h
+        return h
 
-def _tokens(sentence: str) -> list[int]:
-    out = []
-    for w in _TOKEN.findall(unicodedata.normalize("NFKC", sentence).casefold()):
-        h = _hashes.get(w)
-        if h is None:
-            if len(_hashes) > 500_000:
-                _hashes.clear()
-            h = _hashes[w] = zlib.crc32(w.encode())
-        out.append(h)
-    return out
+
+_hashes = _Hashes({"\n": 1 << 32})
 
 
 def features(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,17 +122,21 @@ def features(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     Feature 0 is in each sentence and stands for it if it has no words.
     """
-    toks = [_tokens(s) for s in sentences]
-    n = np.fromiter((len(t) for t in toks), np.int64, len(toks))
-    flat = np.fromiter((h for t in toks for h in t), np.uint64, int(n.sum()))
-    sent = np.repeat(np.arange(len(toks)), n)
-    pair = sent[1:] == sent[:-1] if len(sent) else np.zeros(0, bool)
-    two = (flat[:-1] * np.uint64(0x9E3779B1) + flat[1:])[pair] if len(flat) else np.zeros(0, np.uint64)
+    n = len(sentences)
+    words = _TOKEN.findall(unicodedata.normalize("NFKC", "\n".join(x.replace("\n", " ") for x in sentences) + "\n").casefold()) if n else []
+    flat = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    ends = flat == np.uint64(1 << 32)
+    sent = np.cumsum(ends) - ends
+    word = ~ends
+    both = word[1:] & word[:-1]
     mix = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
-    idx = np.concatenate([np.zeros(len(toks), np.int64), mix(flat), mix(two)])
-    of = np.concatenate([np.arange(len(toks)), sent, sent[:-1][pair] if len(sent) else np.zeros(0, np.int64)])
-    order = np.argsort(of, kind="stable")
-    return idx[order], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(toks)))])
+    one, two = mix(flat), mix(flat[:-1] * np.uint64(0x9E3779B1) + flat[1:])
+    one[ends] = 0
+    # a word, or feature 0 at the end of a sentence, and the pair that begins with it
+    idx = np.stack([one, np.append(two, 0)], axis=1).ravel()
+    keep = np.stack([np.ones(len(flat), bool), np.append(both, False)], axis=1).ravel()
+    of = np.repeat(sent, 2)[keep]
+    return idx[keep], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])
 
 
 @dataclass
@@ -149,16 +152,24 @@ class Model:
         z = np.add.reduceat(self.weights[idx], at[:-1], axis=0)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def counts(self, paragraphs: list[np.ndarray]) -> np.ndarray:
-        """Sentences that deal with each subject. A sentence that is open between subjects goes with its paragraph."""
-        n = np.zeros(len(self.subjects), dtype=np.int64)
-        for p in paragraphs:
-            sure = p >= self.thresholds
-            total = sure.sum(axis=0)
-            n += total
-            if total.max() >= 2:
-                k = int(total.argmax())
-                n[k] += int(((p[:, k] >= self.thresholds[k] / 2) & ~sure.any(axis=1)).sum())
+    def counts(self, p: np.ndarray, paragraph: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+        """Sentences of each document that deal with each subject: p are the sentences' scores, `paragraph` (rising) and `doc` are where they stand.
+
+        A sentence that is open between subjects goes with its paragraph, if that has two sure sentences on a subject.
+        """
+        k = len(self.subjects)
+        n = np.zeros((docs, k), dtype=np.int64)
+        if not len(p):
+            return n
+        sure = p >= self.thresholds
+        np.add.at(n, doc, sure)
+        at = np.flatnonzero(np.append(True, paragraph[1:] != paragraph[:-1]))
+        total = np.add.reduceat(sure.astype(np.int64), at, axis=0)
+        most = total.argmax(axis=1)
+        place = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(p))))
+        to = most[place]
+        open_ = (total.max(axis=1) >= 2)[place] & ~sure.any(axis=1) & (p[np.arange(len(p)), to] >= self.thresholds[to] / 2)
+        np.add.at(n, (doc[open_], to[open_]), 1)
         return n
 
 
@@ -177,7 +188,12 @@ def _select(occurrences: tuple[np.ndarray, np.ndarray], rows: np.ndarray, y: np.
     """
     of, to = occurrences
     w = y * weight[:, None]
-    c = np.stack([np.bincount(of, weights=np.sqrt(np.bincount(to, weights=w[rows, j], minlength=len(of))), minlength=1 << BITS) for j in range(y.shape[1])], axis=1)
+    c = np.zeros((1 << BITS, y.shape[1]))
+    for j in range(y.shape[1]):
+        own = np.flatnonzero((w[:, j] > 0)[rows])
+        each = np.bincount(to[own], weights=w[rows[own], j])
+        some = np.flatnonzero(each)
+        c[:, j] = np.bincount(of[some], weights=np.sqrt(each[some]), minlength=1 << BITS)
     share = c[0] / max(1e-9, c[0].sum())  # feature 0 is in every sentence
     r = c / np.maximum(share, 0.02) / y.shape[1]
     return r.max(axis=1) >= purity * (r.sum(axis=1) + smooth)
@@ -193,23 +209,28 @@ def _fit(idx: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, k
     weight and are left out.
     """
     entry = keep[idx] & (idx != 0) & (weight[rows] > 0)
-    used = np.flatnonzero(np.bincount(idx[entry], minlength=1 << BITS))
-    place = np.zeros(1 << BITS, dtype=np.int64)
-    place[used] = np.arange(len(used))
-    col = place[idx[entry]]
-    have = np.flatnonzero(np.bincount(rows[entry], minlength=len(y)))
-    place = np.zeros(len(y), dtype=np.int64)
-    place[have] = np.arange(len(have))
-    row = place[rows[entry]]
     out = np.zeros((1 << BITS, y.shape[1]), dtype=np.float32)
     out[0] = BIAS
+    if not entry.any():
+        return out
+    used, col = np.unique(idx[entry], return_inverse=True)
+    row = rows[entry]
+    at = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    have = row[at]
+    # sentences with the same kept words are one row, of the weight of them all
+    alike = np.add.reduceat((used[col].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ ((used[col].astype(np.uint64) << np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)), at)
+    _, first, to = np.unique(alike, return_index=True, return_inverse=True)
+    length = np.diff(np.append(at, len(row)))
+    col = np.concatenate([col[at[i] : at[i] + length[i]] for i in first.tolist()])
+    row = np.repeat(np.arange(len(first)), length[first])
     for j in range(y.shape[1]):
         w = np.zeros(len(used)) if start is None else start[used, j].astype(float)
         seen, yj = np.full(len(used), 1e-6), y[have, j]
-        much = weight[have] * np.where(yj > 0.5, 2.0, 1.0)
+        each = weight[have] * np.where(yj > 0.5, 2.0, 1.0)
+        much, said = np.bincount(to, weights=each, minlength=len(first)), np.bincount(to, weights=each * yj, minlength=len(first))
         for _ in range(40 if start is None else 15):
-            z = BIAS + np.bincount(row, weights=w[col], minlength=len(have))
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - yj) * much
+            z = BIAS + np.bincount(row, weights=w[col], minlength=len(first))
+            g = much / (1 + np.exp(-np.clip(z, -30, 30))) - said
             grad = np.bincount(col, weights=g[row], minlength=len(used)) + l2 * w
             seen += grad**2
             w -= 0.8 * grad / np.sqrt(seen)
@@ -217,15 +238,18 @@ def _fit(idx: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, k
     return out
 
 
+def _by_paragraph(sure: np.ndarray, paragraph: np.ndarray) -> np.ndarray:
+    """Sums of the sentences of each paragraph; every paragraph has some, in a row."""
+    return np.add.reduceat(sure.astype(np.int64), np.flatnonzero(np.append(True, paragraph[1:] != paragraph[:-1])), axis=0)
+
+
 def _targets(p: np.ndarray, hinted: np.ndarray, paragraph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """New labels and weights of sentences: what the last model is sure of; elsewhere, with less weight, what the paragraph
     deals with (two sure sentences, no other subject), or the open subject that its document's label hints at.
     """
     sure = p >= 0.6
     out = np.where(sure, 1.0, 0.0)
-    in_par = np.zeros((paragraph[-1] + 1, p.shape[1]))
-    np.add.at(in_par, paragraph, sure)
-    around = in_par[paragraph]
+    around = _by_paragraph(sure, paragraph)[paragraph]
     open_ = ~sure.any(axis=1)
     by_par = open_ & (around.max(axis=1) >= 2) & ((around > 0).sum(axis=1) == 1)
     out[by_par, around[by_par].argmax(axis=1)] = 1.0
@@ -235,10 +259,61 @@ def _targets(p: np.ndarray, hinted: np.ndarray, paragraph: np.ndarray) -> tuple[
     return out, np.where(sure.any(axis=1), 1.0, np.where(by_par | by_hint, 0.3, 0.2))
 
 
-def train(docs: list[tuple[list[list[str]], set[str], float, int]], subjects: list[str], purity: float = 0.45, smooth: tuple[float, ...] = (4.0, 4.0, 3.0, 2.0, 2.0, 2.0, 2.0, 2.0)) -> Model:
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def _returning(idx: np.ndarray, rows: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Features that come back within a document more often than by chance, as what a text is about does: mask over all of them."""
+    both = _distinct(rows * (1 << BITS) + idx)
+    row, f = both >> BITS, both & ((1 << BITS) - 1)
+    n = np.bincount(f, minlength=1 << BITS)
+    in_docs = np.bincount(_distinct(doc[row] * (1 << BITS) + f) & ((1 << BITS) - 1), minlength=1 << BITS)
+    share = n / len(doc)
+    chance = 1 - (1 - share) ** max(0.0, np.bincount(doc)[doc].mean() - 1)
+    again = n - in_docs
+    return (n >= 3) & (again >= 1) & (again / np.maximum(1, n) > 2 * chance + 0.05) & (share < 0.02)
+
+
+def _grow(idx: np.ndarray, rows: np.ndarray, paragraph: np.ndarray, doc: np.ndarray, seed: np.ndarray, rounds: int = 4, margin: float = 2.0) -> np.ndarray:
+    """The subject of paragraphs without one in `seed` (paragraphs x subjects): its returning words stand, by the log of their share over the
+    mean share, with one subject by `margin` more than with any other. What is found counts in the next round.
+    """
+    k = seed.shape[1]
+    ok = _returning(idx, rows, doc)[idx] & (idx != 0)
+    both = _distinct(paragraph[rows[ok]] * (1 << BITS) + idx[ok])
+    par = both >> BITS
+    used, f = np.unique(both & ((1 << BITS) - 1), return_inverse=True)
+    given, q = seed.max(axis=1) > 0, seed
+    for _ in range(rounds):
+        c = np.stack([np.bincount(f, weights=q[par, j], minlength=len(used)) for j in range(k)], axis=1)
+        mean = (q.sum(axis=0) + 1) / (q.sum() + k)
+        lift = np.log(np.maximum((c + mean) / (c.sum(axis=1, keepdims=True) + 1) / mean, 0.1))
+        z = np.stack([np.bincount(par, weights=lift[f, j], minlength=len(seed)) for j in range(k)], axis=1)
+        top = np.sort(z, axis=1)
+        clear = (top[:, -1] > margin) & (top[:, -1] - (top[:, -2] if k > 1 else 0) > margin)
+        q = np.where(given[:, None], seed, ((z == top[:, -1:]) & clear[:, None]).astype(float))
+    return q
+
+
+def _seeds(p: np.ndarray, paragraph: np.ndarray, hinted: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Subjects of paragraphs that are known: two sure sentences on one subject and none on another; where nothing is sure, the only hand label."""
+    n = _by_paragraph(p >= 0.6, paragraph)
+    one = ((n > 0).sum(axis=1) == 1)[:, None] & (n >= 2)
+    said = _by_paragraph((hinted > 0) & ((base == 1) & (hinted.sum(axis=1) == 1))[:, None], paragraph) > 0
+    return np.where((n.sum(axis=1) == 0)[:, None], said, one).astype(float)
+
+
+def train(
+    docs: list[tuple[list[list[str]], set[str], float, int]], subjects: list[str], purity: float = 0.45, smooth: tuple[float, ...] = (4.0, 4.0, 3.0, 2.0, 2.0, 2.0),
+    again: tuple[float, ...] = (4.0, 4.0, 4.0),
+) -> Model:
     """A model from (paragraphs, subjects, weight, section) of sample documents; weight 0 for those without a label of any kind.
 
-    There is a round for each number in `smooth` (see `_select`). Thresholds are 0.5 until `calibrate` has set them.
+    There is a round for each number in `smooth` (see `_select`), and after the paragraphs that are still open have been reached through their
+    neighbours (see `_grow`) one for each in `again`. With fewer than ten hand-labelled documents a subject the numbers shrink
+    with the root of them, as a feature can then stand in few labelled sentences. Thresholds are 0.5 until `calibrate` has set them.
 
     Without any labelled sentence all weights are 0 and no document gets a subject.
     """
@@ -261,15 +336,21 @@ def train(docs: list[tuple[list[list[str]], set[str], float, int]], subjects: li
     y, w = hinted, base / np.maximum(1, hinted.sum(axis=1))
     rows = np.repeat(np.arange(len(sents)), np.diff(at))
     occurrences = _occurrences(idx, rows, section)
-    model = None
-    for much in smooth:
-        keep = _select(occurrences, rows, y, w, purity, much)
+    scale = min(1.0, (sum(w == 1 for _, _, w, _ in docs) / (10 * k)) ** 0.5)
+    model = grown = None
+    for i, much in enumerate((*smooth, *again)):
+        if i == len(smooth):
+            grown = _grow(idx, rows, par, of, _seeds(model.scores(idx, at), par, hinted, base))[par]
+        if grown is not None:
+            add = (w < 0.25) & (y.max(axis=1) == 0) & (grown.max(axis=1) > 0)
+            y, w = np.where(add[:, None], grown == grown.max(axis=1, keepdims=True), y).astype(float), np.where(add, 0.5, w)
+        keep = _select(occurrences, rows, y, w, purity, much * scale)
         model = Model(subjects, _fit(idx, rows, y, w, keep, model and model.weights), np.full(k, 0.5))
         y, w = _targets(model.scores(idx, at), hinted, par)
     return model
 
 
-def tally(spark, model: Model, labelled: DataFrame, grid: tuple[float, ...]) -> np.ndarray:
+def tally(spark, model: Model, labelled: DataFrame, grid: tuple[float, ...], least: int = 2) -> np.ndarray:
     """Of hand-labelled documents (text, subjects as the model names them), for each threshold and subject: documents judged to
     have it, judged so and labelled so, labelled so. Documents are read whole on the executors; only sums come back.
     """
@@ -289,7 +370,7 @@ def tally(spark, model: Model, labelled: DataFrame, grid: tuple[float, ...]) ->
                 y = np.array([[s in ys for s in names] for ys in part["subjects"].to_pylist()]).reshape(-1, k)
                 for i, t in enumerate(grid):
                     trial = Model(names, full, np.full(k, t))
-                    hit = np.array([trial.counts(p) for p in scored]).reshape(-1, k) >= 2
+                    hit = trial.counts(*scored, part.num_rows) >= least
                     sums[i] += np.stack([hit.sum(axis=0), (hit & y).sum(axis=0), y.sum(axis=0)])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size, dtype=np.int32)), pa.array(sums.ravel())], names=["place", "n"])
 
@@ -300,11 +381,11 @@ def tally(spark, model: Model, labelled: DataFrame, grid: tuple[float, ...]) ->
     return out
 
 
-def calibrate(spark, model: Model, labelled: DataFrame, grid: tuple[float, ...] = (0.3, 0.4, 0.5, 0.6, 0.7)) -> np.ndarray:
+def calibrate(spark, model: Model, labelled: DataFrame, grid: tuple[float, ...] = (0.3, 0.4, 0.5, 0.6, 0.7), least: int = 2) -> np.ndarray:
     """For each subject the threshold with the best F1 on all hand-labelled documents (see `tally`); 0.5 in a tie and without documents."""
     k = len(model.subjects)
     best, out = np.full(k, -1.0), np.full(k, 0.5)
-    sums = tally(spark, model, labelled, grid)
+    sums = tally(spark, model, labelled, grid, least)
     for t in sorted(grid, key=lambda t: abs(t - 0.5)):
         hit, both, said = sums[grid.index(t)]
         f1 = 2 * both / np.maximum(1, hit + said)
@@ -320,62 +401,59 @@ def hand_labelled(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(said, "id").select("text", "subjects")
 
 
-def score_documents(model: Model, docs: list[list[list[str]]]) -> list[list[np.ndarray]]:
-    """Sentence scores of each document's paragraphs."""
-    p = model.scores(*features([s for ps in docs for p in ps for s in p]))
-    out, i = [], 0
-    for ps in docs:
-        got = []
-        for s in ps:
-            got.append(p[i : i + len(s)])
-            i += len(s)
-        out.append(got)
-    return out
+def score_documents(model: Model, docs: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of all sentences of documents (lists of paragraphs), the number of the paragraph and of the document of each."""
+    n = [[len(p) for p in ps] for ps in docs]
+    of = np.repeat(np.arange(len(docs)), [len(x) for x in n])
+    size = np.array([x for xs in n for x in xs], dtype=np.int64)
+    return model.scores(*features([s for ps in docs for p in ps for s in p])), np.repeat(np.arange(len(size)), size), np.repeat(of, size)
+
+
+def section_name(c: Column) -> Column:
+    """A section without blanks around it and regardless of letter case and of - and _; null for an empty one."""
+    name = F.translate(F.lower(F.trim(c.cast("string"))), "-", "_")
+    return F.when(name != "", name)
 
 
 def sample(
-    docs: DataFrame, id_col: str, text_col: str, section_col: str, labels: DataFrame, label_id: str, label_col: str,
-    *, hand_docs: int, other_docs: int, sentences_per_doc: int, sentence_chars: int,
+    docs: DataFrame, id_col: str, text_col: str, section_cols: Sequence[str], labels: DataFrame, label_id: str, label_col: str,
+    *, hand_docs: int, other_docs: int, fit_chars: int,
 ) -> DataFrame:
-    """(paragraphs, subjects, weight, section): the rows that the model is fitted on.
+    """(paragraphs, subjects, weight, section): the rows that the model is fitted on, each with all its own sentences.
 
-    At most `hand_docs` documents with hand labels and `other_docs` without, those whose section's labelled documents mostly agree
-    first, both in the order of the id's hash; of each the first `sentences_per_doc` own sentences, cut to `sentence_chars`.
+    At most `hand_docs` documents with hand labels and `other_docs` without, those first of which a section's labelled documents mostly
+    agree (the sections in the order of `section_cols`), both in the order of the id's hash; of those, documents without a text or of more than
+    `fit_chars` characters are left out, so the sample is bounded. `section` is the first of the sections.
     """
     said = labels.where(F.col(label_id).isNotNull()).select(F.col(label_id).alias("id"), F.lower(F.trim(label_col)).alias("subject")).where("subject IS NOT NULL").distinct()
-    ids = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(section_col).alias("section"))
+    names = [f"s{i}" for i in range(len(section_cols))]
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *[section_name(F.col(c)).alias(n) for c, n in zip(section_cols, names)])
     labelled = said.join(ids, "id")
-    agreed = labelled.where("section IS NOT NULL").groupBy("section", "subject").agg(F.count("*").alias("n")).groupBy("section").agg(
-        F.max_by("subject", F.struct("n", "subject")).alias("subject"), (F.max("n") / F.sum("n")).alias("share"))
-    hand = labelled.groupBy("id", "section").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
+    hand = labelled.groupBy("id").agg(F.first(names[0]).alias("section"), F.sort_array(F.collect_set("subject")).alias("subjects"))
     hand = hand.orderBy(F.xxhash64("id"), "id").limit(hand_docs).withColumn("weight", F.lit(1.0))
-    mostly = agreed.where("share >= 0.6").select("section", "subject")
-    other = ids.join(said.select("id").distinct(), "id", "left_anti").join(mostly, "section", "left")
+    other = ids.join(said.select("id").distinct(), "id", "left_anti").withColumn("subject", F.lit(None).cast("string"))
+    for n in names:
+        agreed = labelled.where(F.col(n).isNotNull()).groupBy(n, "subject").agg(F.count("*").alias("n")).groupBy(n).agg(
+            F.max_by("subject", F.struct("n", "subject")).alias("most"), (F.max("n") / F.sum("n")).alias("share")).where("share >= 0.6").select(n, "most")
+        other = other.join(agreed, n, "left").withColumn("subject", F.coalesce("subject", "most")).drop("most")
     other = other.orderBy(F.col("subject").isNull(), F.xxhash64("id"), "id").limit(other_docs).select(
-        "id", "section", F.when(F.col("subject").isNull(), F.array().cast("array<string>")).otherwise(F.array("subject")).alias("subjects"),
+        "id", F.col(names[0]).alias("section"), F.when(F.col("subject").isNull(), F.array().cast("array<string>")).otherwise(F.array("subject")).alias("subjects"),
         F.when(F.col("subject").isNull(), 0.0).otherwise(0.5).alias("weight"))
     chosen = hand.unionByName(other)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.char_length("text") <= fit_chars).join(F.broadcast(chosen), "id")
     rows = rows.select("text", "subjects", "weight", F.coalesce(F.xxhash64("section"), F.xxhash64("id")).alias("section"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text in b["text"].to_pylist():
-                left, kept = sentences_per_doc, []
-                for p in own_paragraphs(text):
-                    if left > 0:
-                        kept.append([s[:sentence_chars] for s in p[:left]])
-                        left -= len(p)
-                out.append(kept)
+            out = [own_paragraphs(text) for text in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.list_(pa.string()))), b["subjects"], b["weight"], b["section"]], names=["paragraphs", "subjects", "weight", "section"])
 
     return rows.mapInArrow(run, "paragraphs array<array<string>>, subjects array<string>, weight double, section long")
 
 
 def subject_counts(
-    docs: DataFrame, id_col: str, text_col: str, section_col: str, labels: DataFrame, label_id: str, label_col: str, areas: DataFrame, area_col: str,
-    *, least: int = 2, hand_docs: int = 8_000, other_docs: int = 6_000, sentences_per_doc: int = 60, sentence_chars: int = 2_000, max_subjects: int = 1_000,
+    docs: DataFrame, id_col: str, text_col: str, section_cols: Sequence[str], labels: DataFrame, label_id: str, label_col: str, areas: DataFrame, area_col: str,
+    *, least: int = 2, hand_docs: int = 8_000, other_docs: int = 6_000, fit_chars: int = 100_000, max_subjects: int = 1_000,
 ) -> DataFrame:
     """(id, subject, sentences): the subjects with which at least `least` of a document's own sentences deal.
 
@@ -392,12 +470,13 @@ def subject_counts(
         raise ValueError(f"more than {max_subjects} subjects")
     spelled.sort()
     subjects = [s.strip().lower() for s in spelled]
-    how = {"hand_docs": hand_docs, "other_docs": other_docs, "sentences_per_doc": sentences_per_doc, "sentence_chars": sentence_chars}
-    taken = sample(docs, id_col, text_col, section_col, labels, label_id, label_col, **how).collect() if subjects else []
+    how = {"hand_docs": hand_docs, "other_docs": other_docs, "fit_chars": fit_chars}
+    section_cols = [section_cols] if isinstance(section_cols, str) else section_cols
+    taken = sample(docs, id_col, text_col, section_cols, labels, label_id, label_col, **how).collect() if subjects else []
     rows = sorted(((r.paragraphs, set(r.subjects) & set(subjects), r.weight, r.section) for r in taken), key=lambda r: (r[3], r[0]))
     model = train([(p, y, w if y else 0.0, g) for p, y, w, g in rows], subjects)
     if model.weights.any():
-        model.thresholds = calibrate(spark, model, hand_labelled(docs, id_col, text_col, labels, label_id, label_col, subjects))
+        model.thresholds = calibrate(spark, model, hand_labelled(docs, id_col, text_col, labels, label_id, label_col, subjects), least=least)
     used = np.flatnonzero(model.weights.any(axis=1)).astype(np.int32)
     shared = spark.sparkContext.broadcast((used, model.weights[used], model.thresholds))
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -410,15 +489,9 @@ def subject_counts(
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                paragraphs = [own_paragraphs(t) for t in part["text"].to_pylist()]
-                ids, names, counts = [], [], []
-                for i, scores in enumerate(score_documents(m, paragraphs)):
-                    n = m.counts(scores) if scores else np.zeros(0)
-                    for k in np.flatnonzero(n >= least):
-                        ids.append(i)
-                        names.append(spelled[k])
-                        counts.append(int(n[k]))
-                yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(ids, pa.int64())), pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["id", "subject", "sentences"])
+                n = m.counts(*score_documents(m, [own_paragraphs(t) for t in part["text"].to_pylist()]), part.num_rows)
+                doc, subject = np.nonzero(n >= least)
+                yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(doc)), pa.array([spelled[k] for k in subject], pa.string()), pa.array(n[doc, subject])], names=["id", "subject", "sentences"])
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL AND text <> ''")
     schema = f"id {id_type}, subject string, sentences long"

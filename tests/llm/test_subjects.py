@@ -95,3 +95,36 @@ def test_thresholds_come_from_all_labelled_documents(spark, monkeypatch):
     got = subject_counts(*args, hand_docs=12, other_docs=0).collect()
     assert got and seen and (seen[0][:, 2].sum(axis=1) == 60).all()  # five times the documents of the fit
     assert (seen[0][:, 1] <= seen[0][:, 0]).all() and (seen[0][:, 1] <= seen[0][:, 2]).all()
+
+
+def test_sections_and_whole_texts_of_the_sample(spark):
+    docs = [(1, "One. " * 300, None, "Board-A "), (2, "Two. Three.", 7, "board_a"), (3, "Four.", 7, "x"), (4, "Five.", None, " BOARD_a"), (5, "Six.", 8, ""), (6, "Seven. " * 900, 7, None), (7, None, 7, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, thread long, board string")
+    labels = spark.createDataFrame([(1, "law"), (2, "music"), (3, "music")], "doc_id long, subject string")
+    got = areas_of.sample(d, "doc_id", "text", ["thread", "board"], labels, "doc_id", "subject", hand_docs=9, other_docs=9, fit_chars=5_000).collect()
+    by = {r.paragraphs[0][0]: (sum(map(len, r.paragraphs)), r.subjects, r.weight) for r in got}
+    assert by == {"One.": (300, ["law"], 1.0), "Two.": (2, ["music"], 1.0), "Four.": (1, ["music"], 1.0), "Five.": (1, [], 0.0), "Six.": (1, [], 0.0)}  # boards don't agree
+    labels = spark.createDataFrame([(1, "law"), (3, "music")], "doc_id long, subject string")
+    got = areas_of.sample(d, "doc_id", "text", ["thread", "board"], labels, "doc_id", "subject", hand_docs=9, other_docs=9, fit_chars=5_000).collect()
+    by = {r.paragraphs[0][0]: (r.subjects, r.weight) for r in got}
+    assert by["Five."] == (["law"], 0.5) and by["Two."] == (["music"], 0.5)  # the thread first, then the board
+
+
+def test_words_that_no_labelled_document_has(spark):
+    rng = random.Random(11)
+    chat = ["Does anybody know what became of the old page?", "I was there on a Tuesday and it rained.", "Let me know when you find something.", "My neighbour says otherwise, as usual."]
+    docs, truth, labels = [], {}, []
+    for i in range(360):
+        subject = [*TERMS][i % 3]
+        known, rest = TERMS[subject][:4], TERMS[subject][4:]
+        terms = known if i < 24 else rest if i % 2 else [*rng.sample(known, 2), *rng.sample(rest, 3)]
+        said = [rng.choice(SHAPES).format(a=rng.choice(terms), b=rng.choice(terms)) for _ in range(5)] + rng.sample(chat, 2)
+        docs.append((i, " ".join(said), None))
+        truth[i] = subject
+        if i < 24:
+            labels.append((i, subject))
+    got = subject_counts(
+        spark.createDataFrame(docs, "doc_id long, text string, thread string"), "doc_id", "text", ["thread"], spark.createDataFrame(labels, "doc_id long, subject string"),
+        "doc_id", "subject", spark.createDataFrame([(s,) for s in TERMS], "subject string"), "subject").collect()
+    hit = sum(truth[r.id] == r.subject for r in got)
+    assert hit > 0.9 * len(got) and hit > 0.9 * len(truth)
