@@ -39,7 +39,10 @@ _NOT_OWN = re.compile(rf"""^{_BLANK}(?:(?:>|\|(?:\s|$)).*
     |[\[(*_]{{0,3}}{_BLANK}(?:last[^\S\n]+)?(?:edit(?:ed)?|bearbeitet|editado|modifié|édité)\b{_BLANK}(?:by|on|:|von|por|par|am|le|el).*
     |(?:\*\*)?[^\n]{{1,60}}\b(?:wrote|said|schrieb|escribió|a[ ]écrit|dijo|sagte){_BLANK}:?{_BLANK}:?(?:\*\*)?{_BLANK}$)\n?""",
     re.IGNORECASE | re.MULTILINE | re.VERBOSE)
-_SENTENCE = re.compile(r"(?<=[.!?…。！？])[\s\"')\]*_]*\s+|(?<=:-\))\s+|(?<=:\))\s+|\n+|(?<=[。！？])")
+#: The blanks and closing marks between sentences: after an end mark, a line break or a smiley.
+_SENTENCE = re.compile(r"""[\s"')\]*_](?:(?<=[.!?…。！？](?s:.))[\s"')\]*_]*(?<=\s)|(?<=\n)\n*|(?:(?<=:-\)\s)|(?<=:\)\s))\s*)""")
+#: Behind an end mark that needs no blank after it.
+_FULL_STOP = re.compile(r"(?<=[。！？])(?![\s\"')\]*_]*\s)")
 _TOKEN = re.compile(r"[^\W_]+|\n")
 _INVISIBLE = re.compile("[­​-‏ -‮⁠-⁤﻿]")
 
@@ -97,7 +100,10 @@ def own_text(text: str) -> str:
 def own_paragraphs(text: str) -> list[list[str]]:
     """Sentences of a post's own words, by paragraph."""
     out = []
-    for p in re.split(r"\n[ \t\r]*\n", own_text(text)):
+    text = own_text(text)
+    if "。" in text or "！" in text or "？" in text:
+        text = _FULL_STOP.sub("\n", text)
+    for p in re.split(r"\n[ \t\r]*\n", text):
         s = [x.strip() for x in _SENTENCE.split(p) if x and x.strip()]
         if s:
             out.append(s)
