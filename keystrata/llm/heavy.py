@@ -2,12 +2,13 @@
 
 Each map task fills one sketch: exact counters for the hash's first 8 and 16 bits, and for each longer prefix (24, 32, ...
 64 bits) a count-sketch with signed hashes. Sketches are sums, so they are added up cell by cell in a shuffle whose size
-is tasks x sketch, whatever the rows. Descending from heavy prefixes to their 256 children each recovers the 64-bit hashes
+is tasks x sketch, whatever the rows; a task takes several splits where there are more of them than four for each core. Descending from heavy prefixes to their 256 children each recovers the 64-bit hashes
 that can be heavy, and a second scan counts the keys that have them exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.session import ship
+from keystrata.session import parts, ship
 
 SLICE = 4096
 
@@ -36,6 +37,15 @@ class SketchShape:
 
     EXACT = (8, 16)
     LEVELS = (24, 32, 40, 48, 56, 64)
+    #: Rows of 2**20 counters are 250 MB for the driver and each task.
+    MOST_BITS = 20
+
+    @classmethod
+    def for_share(cls, share: float, depth: int = 5) -> SketchShape:
+        """Counters enough for keys of a share if no key has much more: a key's own 48 in each row."""
+        if not 0 < share <= 1:
+            raise ValueError(f"a share is above 0 and at most 1, not {share}")
+        return cls(depth, min(cls.MOST_BITS, max(10, math.ceil(math.log2(48 / share) - 0.1))))
 
     @property
     def cells(self) -> int:
@@ -73,6 +83,12 @@ class SketchShape:
             each.append(cells[self.offset(level, row) + at] * sign)
         return np.median(np.stack(each), axis=0)
 
+    def noise(self, cells: np.ndarray, heavy: np.ndarray) -> float:
+        """Standard error of a row's estimate: the root of the second moment of all but the `heavy` counts, over the counters."""
+        o, width = self.offset(64), 1 << self.width_bits
+        rows = cells[o : o + self.depth * width].reshape(self.depth, width).astype(float)
+        return float(np.sqrt(max(0.0, float(np.median((rows**2).sum(axis=1))) - float((heavy.astype(float) ** 2).sum())) / width))
+
     def total(self, cells: np.ndarray) -> int:
         return int(cells[:256].sum())
 
@@ -127,11 +143,16 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketch(df: DataFrame, key: Column, shape: SketchShape = SketchShape()) -> np.ndarray:
-    """The summed cells over all rows whose key is not null. The driver gets `shape.cells` counters, about 4.5 MB by default."""
-    ship(df.sparkSession)
+    """The summed cells over all rows whose key is not null. The driver gets `shape.cells` counters, about 4.5 MB by default.
+
+    At most four sketches for each core are filled, whatever the number of splits, and each slice of 4,096 counters is summed by itself.
+    """
+    spark = df.sparkSession
+    ship(spark)
     hashed = df.select(key.alias("k")).where("k IS NOT NULL").select(F.xxhash64("k").alias("h"))
-    parts = hashed.mapInArrow(_build(shape), "slice int, raw binary")
-    merged = parts.repartition(12, "slice").mapInArrow(_merge, "slice int, raw binary")
+    sketches = hashed.coalesce(4 * spark.sparkContext.defaultParallelism).mapInArrow(_build(shape), "slice int, raw binary")
+    reducers = min(-(-shape.cells // SLICE), parts(spark))
+    merged = sketches.repartitionById(reducers, F.col("slice")).mapInArrow(_merge, "slice int, raw binary")
     cells = np.zeros(shape.cells, dtype=np.int64)
     for k, raw in merged.collect():
         v = np.frombuffer(raw, dtype=np.int64)
@@ -139,17 +160,28 @@ def sketch(df: DataFrame, key: Column, shape: SketchShape = SketchShape()) -> np
     return cells
 
 
-def heavy_hitters(df: DataFrame, key: Column, share: float, *, slack: float = 0.5, shape: SketchShape = SketchShape()) -> DataFrame:
+def heavy_hitters(df: DataFrame, key: Column, share: float, *, slack: float = 0.5, shape: SketchShape | None = None) -> DataFrame:
     """(key, approx_count, n, total): every key that at least `share` of the rows with a key have, n being exact.
 
-    Candidates are taken from `slack * share` upwards, so that the sketch's error (about sqrt(F2 / width)) costs no key; there
-    are at most about 1 / (slack * share) of them, which bounds what is broadcast. Null keys are no rows; an empty table
+    Candidates are taken from `slack * share` upwards, so that the sketch's error costs no key; there
+    are at most about 1 / (slack * share) of them, which bounds what is broadcast. `shape` follows from the share if it isn't given. The
+    error is measured on the sketch: where four standard errors are more than `slack * share` leaves room for, a wider sketch is filled by another scan; if
+    that would be wider than SketchShape.MOST_BITS, the share is too small for these keys, which is an error. Null keys are no rows; an empty table
     gives no rows; keys with equal counts all come out. Two keys with one 64-bit hash are told apart by the second scan.
     """
     spark = df.sparkSession
-    cells = sketch(df, key, shape)
-    total = shape.total(cells)
-    hashes, est = shape.descend(cells, max(1.0, slack * share * total)) if total else (np.zeros(0, np.uint64), np.zeros(0))
+    shape = shape or SketchShape.for_share(share)
+    while True:
+        cells = sketch(df, key, shape)
+        total = shape.total(cells)
+        hashes, est = shape.descend(cells, max(1.0, slack * share * total)) if total else (np.zeros(0, np.uint64), np.zeros(0))
+        over = 4 * shape.noise(cells, est) / max(1.0, slack * share * total)
+        if over <= 1:
+            break
+        bits = shape.width_bits + math.ceil(2 * math.log2(over))
+        if bits > shape.MOST_BITS:
+            raise ValueError(f"keys of a share of {share} can't be told from the others by 2**{shape.MOST_BITS} counters")
+        shape = SketchShape(shape.depth, bits)
     found = spark.createDataFrame([(int(h), int(e)) for h, e in zip(hashes.astype(np.int64), est)], "h long, approx_count long")
     rows = df.select(key.alias("key")).where("key IS NOT NULL").withColumn("h", F.xxhash64("key"))
     counted = rows.join(F.broadcast(found), "h").groupBy("key", "approx_count").agg(F.count("*").alias("n"))
