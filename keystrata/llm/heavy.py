@@ -92,8 +92,10 @@ class SketchShape:
     def total(self, cells: np.ndarray) -> int:
         return int(cells[:256].sum())
 
-    def descend(self, cells: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes whose estimate, and that of each of their prefixes, is at least `least`; and the estimates."""
+    def descend(self, cells: np.ndarray, least: float, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Hashes whose estimate, and that of each of their prefixes, is at least `least`; and the estimates. None if more than `most`
+        prefixes of a length seem to be: the counters are too few to tell.
+        """
         at = np.arange(256, dtype=np.uint64)
         est = self.estimate(cells, at, 8)
         at, est = at[est >= least], est[est >= least]
@@ -101,6 +103,8 @@ class SketchShape:
             at = ((at[:, None] << np.uint64(8)) | np.arange(256, dtype=np.uint64)[None, :]).ravel()
             est = self.estimate(cells, at, level)
             at, est = at[est >= least], est[est >= least]
+            if len(at) > most:
+                return None
         return at, est
 
 
@@ -174,9 +178,11 @@ def heavy_hitters(df: DataFrame, key: Column, share: float, *, slack: float = 0.
     while True:
         cells = sketch(df, key, shape)
         total = shape.total(cells)
-        hashes, est = shape.descend(cells, max(1.0, slack * share * total)) if total else (np.zeros(0, np.uint64), np.zeros(0))
-        over = 4 * shape.noise(cells, est) / max(1.0, slack * share * total)
+        least = max(1.0, slack * share * total)
+        got = shape.descend(cells, least, 4 * math.ceil(total / least) + 256)
+        over = 4.0 if got is None else 4 * shape.noise(cells, got[1]) / least
         if over <= 1:
+            hashes, est = got
             break
         bits = shape.width_bits + math.ceil(2 * math.log2(over))
         if bits > shape.MOST_BITS:
