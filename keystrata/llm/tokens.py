@@ -31,8 +31,24 @@ def encoder(rank_file: str, pattern: str = PATTERN):
     return _encoders[rank_file, pattern]
 
 
+def _sent(spark, rank_file: str) -> str:
+    """Send the rank file to the executors; its name there (see `_there`)."""
+    spark.sparkContext.addFile(rank_file)
+    return rank_file.rstrip("/").rsplit("/", 1)[-1]
+
+
+def _there(name: str) -> str:
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(name)
+
+
 def pieces(text: str, longest: int) -> Iterator[str]:
-    """`text` cut at safe places into pieces of about `longest` characters; longer where there is no safe place."""
+    """`text` cut at safe places into pieces of about `longest` characters.
+
+    Where there is no safe place (no printable ASCII character before a blank, no ASCII letter before a digit), a piece is longer; a text
+    without any goes to the encoder whole.
+    """
     at = 0
     while len(text) - at > longest:
         m = SAFE.search(text, at + longest)
@@ -53,15 +69,16 @@ def encode_text(enc, text: str | None, longest: int = 1 << 16) -> list[int]:
 
 
 def encode_corpus(df: DataFrame, id_col: str, text_col: str, rank_file: str, *, pattern: str = PATTERN, longest: int = 1 << 16) -> DataFrame:
-    """(id, ids ARRAY<INT>) of every row, whole texts, one pass without a shuffle. Null and empty texts have an empty list.
+    """(id, ids ARRAY<INT>) of every row, whole texts, one pass without a shuffle. The driver sends the rank file to the executors. Null and empty texts have an empty list.
 
     Repeated rows come out as often as they come in; other columns are not read.
     """
     ship(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    name = _sent(df.sparkSession, rank_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(rank_file, pattern)
+        enc = encoder(_there(name), pattern)
         for b in batches:
             ids = pa.array([encode_text(enc, t, longest) for t in b["text"].to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b["id"], ids], names=["id", "ids"])
@@ -76,9 +93,10 @@ def decode_corpus(df: DataFrame, id_col: str, ids_col: str, rank_file: str, *, p
     """
     ship(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    name = _sent(df.sparkSession, rank_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(rank_file, pattern)
+        enc = encoder(_there(name), pattern)
         for b in batches:
             raw = [None if x is None else enc.decode_bytes(x) for x in b["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(raw, pa.binary())], names=["id", "raw"])
