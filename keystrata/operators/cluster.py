@@ -74,9 +74,7 @@ def cluster_nodes(slots: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def health(beats: DataFrame, node: str, order: str, missed: Column, suspect: int = 3, dead: int = 6) -> DataFrame:
     """`beats` with `misses` (consecutive misses up to the row) and `health`: active, suspect or dead; any answer makes it active."""
-    one = F.lit(1).cast("long")
-    streak = prefix.running_sum(beats, [node], order, F.when(~missed, one), "answers")
-    n = prefix.running_sum(streak, [node, "answers"], order, F.when(missed, one), "misses").drop("answers")
+    n = prefix.running_since(beats, [node], order, ~missed, F.when(missed, F.lit(1).cast("long")), "misses", "answers").drop("answers")
     return n.withColumn("health", F.when(F.col("misses") >= dead, "dead").when(F.col("misses") >= suspect, "suspect").otherwise("active"))
 
 

@@ -24,11 +24,11 @@ def epochs(ops: DataFrame, key: list[str], order: str, resets: Column) -> DataFr
 
 
 def running_sum(ops: DataFrame, key: list[str], order: str, resets: Column, start: Column, delta: Column) -> DataFrame:
-    """INCR family on valid numbers: `ops` with `epoch` and `result`, the value after the row.
+    """INCR family on valid numbers: `ops` with `epoch` and `result`, the value after the row; both by one slotting.
 
     `start` is the value a reset sets (0 for a delete), `delta` what any other row adds (0 for reads). A key starts from 0.
     """
-    return prefix.running_sum(epochs(ops, key, order, resets), [*key, "epoch"], order, F.when(resets, start).otherwise(delta), "result")
+    return prefix.running_since(ops, key, order, resets, F.when(resets, start).otherwise(delta), "result", "epoch")
 
 
 def appended(ops: DataFrame, key: list[str], order: str, resets: Column, value: Column) -> DataFrame:

@@ -63,7 +63,11 @@ def test_blocks(spark):
     assert maintenance.fragmented(b.where("db = 1"), ["db", "wblock_id"]).count() == 0
 
 
-def test_folds_against_brute_force(spark):
+@pytest.mark.parametrize("most", [2_000_000, 30])
+def test_folds_against_brute_force(spark, monkeypatch, most):
+    from keystrata.operators import prefix
+
+    monkeypatch.setattr(prefix, "ROWS", most)
     rng = random.Random(1)
     rows = [(i, rng.choice(["a", "b", None]), rng.choice(["SET", "DEL", "INCR", "GET"]), rng.randint(1, 9)) for i in range(400)]
     df = spark.createDataFrame(rows, "seq long, k string, cmd string, n long").repartition(4)
@@ -74,6 +78,18 @@ def test_folds_against_brute_force(spark):
     reset = F.col("cmd").isin("SET", "DEL")
     got = folds.running_sum(df, ["k"], "seq", reset, F.when(F.col("cmd") == "SET", F.col("n")).otherwise(0), F.when(F.col("cmd") == "INCR", F.col("n")).otherwise(0))
     assert {r.seq: r.result for r in got.collect()} == want
+    since, last, at = {}, {}, {}
+    for i, k, c, n in rows:
+        at[i] = (since.get(k, 0) + 1 if c == "GET" else 0, last.get(k))
+        since[k] = at[i][0]
+        if c == "SET":
+            last[k] = n
+        elif c == "DEL":
+            last[k] = None
+    got = cluster.health(df, "k", "seq", F.col("cmd") == "GET")
+    assert {r.seq: r.misses for r in got.collect()} == {i: m for i, (m, _) in at.items()}
+    got = folds.last_before(df, ["k"], "seq", F.when(F.col("cmd") == "SET", F.col("n")), reset)
+    assert {r.seq: r.before for r in got.collect()} == {i: v for i, (_, v) in at.items()}
     for i, k, c, n in rows:
         if c in ("SET", "DEL"):
             text[k] = [*text.get(k, [""]), ""] if k in text else ["", ""]
