@@ -57,7 +57,7 @@ def glob_to_regex(pattern: str) -> str:
 
 
 def glob_match(text: Column, pattern: str) -> Column:
-    """Whether `text` (STRING) matches. `lit`, `lit*` and `*` become an equality, a prefix (which the scan can use) and a null test."""
+    """Whether `text` (STRING) matches. `lit`, `lit*` and `*` become an equality, a prefix and a null test; see `key_match` for binary keys."""
     special = [i for i, c in enumerate(pattern) if c in "*?["]
     if not special:
         return text == pattern
@@ -67,6 +67,27 @@ def glob_match(text: Column, pattern: str) -> Column:
     return text.rlike(regex[: -len(r"[\s\S]*")] if pattern[-1] == "*" else regex + r"\z")
 
 
+def literal_prefix(pattern: str) -> str:
+    """What every match begins with."""
+    return re.split(r"[*?\[]", pattern, maxsplit=1)[0]
+
+
+def key_match(key: Column, pattern: str) -> Column:
+    """Whether a binary key matches. What the pattern begins with becomes a range of keys, which reaches the scan as a filter; nothing
+    else is tested if the pattern is `lit` or `lit*`.
+    """
+    head = literal_prefix(pattern).encode("latin-1", "replace") if pattern.isascii() else None
+    if head is None:
+        return glob_match(F.decode(key, "ISO-8859-1"), pattern.encode().decode("latin-1"))
+    if len(head) == len(pattern):
+        return key == F.lit(head)
+    end = head.rstrip(b"\xff")
+    inside = key >= F.lit(head)
+    if end:
+        inside = inside & (key < F.lit(end[:-1] + bytes([end[-1] + 1])))
+    return inside if pattern[len(head) :] == "*" else inside & glob_match(F.decode(key, "ISO-8859-1"), pattern)
+
+
 @F.pandas_udf(T.StringType())
 def glob_regex(pattern: pd.Series) -> pd.Series:
     """`glob_to_regex` for a column of patterns; null of null."""

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from keystrata.operators import prefix
-from keystrata.session import ship
+from keystrata.operators.reads import entry_size
+from keystrata.session import materialize, ship
 
 POLICIES = ("noeviction", "allkeys-lru", "volatile-lru", "allkeys-random", "volatile-random", "volatile-ttl")
 
@@ -28,32 +29,61 @@ def eviction_order(policy: str, seed: int = 0) -> tuple[Column | None, list[Colu
     return order[policy]
 
 
-def evict(state: DataFrame, policy: str, max_keys: int, seed: int = 0) -> DataFrame:
-    """Rows of `state` that are evicted so that each db keeps at most `max_keys`; fewer if the policy may not take more.
+def _narrowed(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """One step of finding a db's cut: its range of leads, divided by 1,024, and of these the part that the cut lies in.
+
+    `cut` (db, lo, hi, need): the `need` first rows of those with lo <= lead <= hi. Out: the same for the part, its leads as they occur.
+    """
+    inside = rows.join(F.broadcast(cut), "db").where((F.col("lead") >= F.col("lo")) & (F.col("lead") <= F.col("hi")))
+    part = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("lead") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1023)).otherwise(F.lit(0))
+    sizes = inside.groupBy("db", "need", part.alias("part")).agg(F.count("*").alias("n"), F.min("lead").alias("lo"), F.max("lead").alias("hi"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("db").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("before", before)
+    # a db that may not give as many as it should gives all: its last part, whole
+    last = F.lead("part").over(Window.partitionBy("db").orderBy("part")).isNull()
+    at = (F.col("before") < F.col("need")) & ((F.col("before") + F.col("n") >= F.col("need")) | F.col("last"))
+    return sizes.withColumn("last", last).where(at).select("db", "lo", "hi", (F.col("need") - F.col("before")).alias("need"))
+
+
+def evict(state: DataFrame, policy: str, max_keys: int | None = None, seed: int = 0, *, max_bytes: int | None = None, size: Column | None = None) -> DataFrame:
+    """Rows of `state` that are evicted so that each db keeps at most `max_keys` and `max_bytes`; fewer if the policy may not take more.
 
     An exact set-based form: the excess of each db, taken in the policy's order (ties by key). LRU is by last write, as keys
-    carry no read time. The cut is found without one task sorting a db: rows are counted by range of the order, whole ranges
-    are taken, and only the range at the cut is ranked.
+    carry no read time. `size` gives a row's bytes (by default those of key and value); the first rows are taken whose bytes reach the excess. The state is folded
+    once and written; the cut of each db is found in two steps over its range of the order, so only a millionth of a range is ranked by one task (with
+    `max_bytes`: a running sum over the leads, and the rows of one lead are ranked). Databases are few, so
+    what is kept for each of them is broadcast.
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy}")
-    if policy == "noeviction":
+    if policy == "noeviction" or (max_keys is None and max_bytes is None):
         return state.where("false")
     may, order = eviction_order(policy, seed)
-    excess = state.groupBy("db").agg((F.count("*") - max_keys).alias("excess")).where("excess > 0")
-    rows = (state if may is None else state.where(may)).join(F.broadcast(excess), "db")
     lead = order[0].cast("timestamp").cast("double") if policy == "volatile-ttl" else order[0].cast("double")
-    rows = rows.withColumn("lead", lead)
-    span = rows.groupBy("db").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi"))
-    part = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("lead") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 1023)).otherwise(F.lit(0))
-    rows = rows.join(F.broadcast(span), "db").withColumn("part", part).drop("lo", "hi", "lead")
-    sizes = rows.groupBy("db", "part").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("db").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.join(F.broadcast(sizes.select("db", "part", "n", F.coalesce("before", F.lit(0)).alias("before"))), ["db", "part"])
-    whole = rows.where(F.col("before") + F.col("n") <= F.col("excess"))
-    cut = rows.where((F.col("before") < F.col("excess")) & (F.col("before") + F.col("n") > F.col("excess")))
-    cut = cut.withColumn("rn", F.row_number().over(Window.partitionBy("db", "part").orderBy(*order, "key"))).where(F.col("before") + F.col("rn") <= F.col("excess"))
-    return whole.select(*state.columns).unionByName(cut.select(*state.columns))
+    size = F.lit(0) if max_bytes is None else entry_size(state) if size is None else size
+    held = materialize(state.select("*", lead.alias("lead"), F.coalesce(may, F.lit(False)).alias("may") if may is not None else F.lit(True).alias("may"), size.cast("long").alias("size")), "evict")
+    names = state.columns
+    over = held.groupBy("db").agg(F.count("*").alias("keys"), F.sum("size").alias("bytes"))
+    rows = held.where("may")
+    if max_bytes is None:
+        need = over.select("db", (F.col("keys") - max_keys).alias("need")).where("need > 0")
+        cut = rows.groupBy("db").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi")).join(need, "db")
+        cut = materialize(_narrowed(rows, _narrowed(rows, cut)), "evict-cut")
+        asked = rows.join(F.broadcast(cut), "db").where(F.col("lead") <= F.col("hi"))
+        whole = asked.where(F.col("lead") < F.col("lo"))
+        ranked = asked.where(F.col("lead") >= F.col("lo")).withColumn("rn", F.row_number().over(Window.partitionBy("db").orderBy(*order, "key")))
+        return whole.select(*names).unionByName(ranked.where(F.col("rn") <= F.col("need")).select(*names))
+    more_keys = F.lit(0) if max_keys is None else F.col("keys") - max_keys
+    excess = over.select("db", more_keys.alias("more_keys"), (F.col("bytes") - max_bytes).alias("more_bytes")).where("more_keys > 0 OR more_bytes > 0")
+    asked = rows.join(F.broadcast(excess), "db")
+    leads = asked.groupBy("db", "lead", "more_keys", "more_bytes").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    for c, name in (("n", "k0"), ("bytes", "b0")):
+        leads = prefix.running_sum(leads, ["db"], "lead", F.col(c), name, before=True)
+    leads = leads.where("k0 < more_keys OR b0 < more_bytes").select("db", "lead", "k0", "b0", F.expr("k0 + n <= more_keys OR b0 + bytes <= more_bytes").alias("whole"))
+    asked = asked.join(leads, ["db", "lead"])
+    w = Window.partitionBy("db", "lead").orderBy(*order, "key")
+    part = asked.where("NOT whole").withColumn("rn", F.row_number().over(w)).withColumn("begun", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    return asked.where("whole").select(*names).unionByName(part.where("k0 + rn <= more_keys OR b0 + begun < more_bytes").select(*names))
 
 
 def over_capacity(log: DataFrame, max_keys: int, tie: str | None = "entry_id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrata.functions.numbers import human_bytes
+from keystrata.operators.reads import entry_size
 
 BUCKETS = 24
 
@@ -21,11 +22,19 @@ def histogram(df: DataFrame, us: Column, by: list[str]) -> DataFrame:
     return df.where(us.isNotNull()).groupBy(*by, latency_bucket(us).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def percentile_bound(hist: DataFrame, by: list[str], p: float, name: str) -> DataFrame:
-    """Upper bound of the bucket in which the count reaches ceil(n * p); at most 24 rows for each `by` are sorted."""
+def percentile_bounds(hist: DataFrame, by: list[str], names: dict[str, float]) -> DataFrame:
+    """(by, *names): for each share the upper bound of the bucket in which the count reaches ceil(n * share). All come from one running sum
+    over the at most 24 rows of each `by`.
+    """
     w = Window.partitionBy(*by)
-    run = hist.withColumn("run", F.sum("n").over(w.orderBy("bucket"))).withColumn("need", F.ceil(F.sum("n").over(w) * p))
-    return run.where(F.col("run") >= F.col("need")).groupBy(*by).agg(F.call_function("shiftleft", F.lit(1).cast("long"), F.min("bucket") + 1).alias(name))
+    run = hist.withColumn("run", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
+    bound = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), F.min(F.when(F.col("run") >= F.ceil(F.col("all") * p), F.col("bucket"))) + 1)
+    return run.groupBy(*by).agg(*[bound(p).alias(name) for name, p in names.items()])
+
+
+def percentile_bound(hist: DataFrame, by: list[str], p: float, name: str) -> DataFrame:
+    """`percentile_bounds` of one share."""
+    return percentile_bounds(hist, by, {name: p})
 
 
 def hit_ratio(df: DataFrame, hit: Column, by: list[str]) -> DataFrame:
@@ -53,5 +62,5 @@ def info(sections: dict[str, DataFrame]) -> DataFrame:
 
 def memory(state: DataFrame) -> DataFrame:
     """used_memory and used_memory_human of a state: bytes of keys and values."""
-    size = F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).cast("long")
+    size = F.sum(entry_size(state)).cast("long")
     return state.agg(F.coalesce(size, F.lit(0)).cast("long").alias("used_memory")).withColumn("used_memory_human", human_bytes(F.col("used_memory")))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.functions.keys import effective_key
-from keystrata.operators.state import as_time, changes, live
+from keystrata.operators.reads import look_up, with_sizes
+from keystrata.operators.state import KEEP, as_time, changes, live
 from keystrata.session import table
 
 AS_OF = "2025-04-01 00:00:00"
@@ -36,8 +37,16 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
     return changes(table(spark, sf, "kv_log"))
 
 
-def state(spark: SparkSession, sf: str, as_of: str | None = AS_OF) -> DataFrame:
-    return live(log(spark, sf), as_time(as_of) if as_of else None)
+def state(spark: SparkSession, sf: str, as_of: str | None = AS_OF, keep: tuple[str, ...] = KEEP) -> DataFrame:
+    """The live state with the columns `keep` of the log; ttl_secs and ts are always read, as they say when a row expires."""
+    rows = log(spark, sf)
+    rows = with_sizes(rows) if "value_bytes" in keep else rows
+    return live(rows, as_time(as_of) if as_of else None, keep=tuple(dict.fromkeys((*keep, "ttl_secs", "ts"))))
+
+
+def found(spark: SparkSession, sf: str, asked: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`asked` (db, key) with the live state's generation (null for a miss), `keep` and expires_at; only the asked keys are folded."""
+    return look_up(asked, log(spark, sf), as_time(AS_OF), keep)
 
 
 def lookups(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from keystrata.functions.glob import key_match
 from keystrata.functions.keys import key_hex
 from keystrata.operators import maintenance, reads, stats
 from keystrata.operators import state as st
-from keystrata.plans.base import AS_OF, LIVE, LOOKUPS, LWW, SNAPSHOT_AT, STATE, CHANGES, log, lookups, query, state
+from keystrata.plans.base import AS_OF, ASCII_KEY, CHANGES, LIVE, LOOKUPS, LWW, SNAPSHOT_AT, STATE, found, log, lookups, query, state
 from keystrata.session import table
 
 _hex = lambda c: F.lower(F.hex(c))
@@ -80,7 +81,7 @@ def kv_flushdb(spark, sf):
 
 @query(f"SELECT l.msg_id, lower(hex(l.key)) AS key_hex, lower(hex(s.value)) AS value_hex FROM ({LOOKUPS}) l LEFT JOIN ({LIVE}) s ON l.db = s.db AND l.key = s.key")
 def kv_get(spark, sf):
-    return reads.get(lookups(spark, sf), state(spark, sf)).select("msg_id", key_hex(F.col("key")).alias("key_hex"), _hex("value").alias("value_hex"))
+    return found(spark, sf, lookups(spark, sf), ("value",)).select("msg_id", key_hex(F.col("key")).alias("key_hex"), _hex("value").alias("value_hex"))
 
 
 @query("""SELECT CAST(p.pos AS INTEGER) AS pos, CAST(p.k AS BIGINT) AS key, o.o_totalprice AS value FROM (SELECT unnest(range(7)) AS pos, unnest([7, 3, 999999999, 7, 33, 1, 2]) AS k) p
@@ -93,35 +94,36 @@ def kv_mget(spark, sf):
 
 @query(f"SELECT from_node, count(s.generation) AS n FROM ({LOOKUPS}) l LEFT JOIN ({LIVE}) s ON l.db = s.db AND l.key = s.key GROUP BY from_node")
 def kv_exists(spark, sf):
-    return reads.exists(lookups(spark, sf), state(spark, sf), ["from_node"])
+    return found(spark, sf, lookups(spark, sf)).groupBy("from_node").agg(F.count("generation").alias("n"))
 
 
 @query(f"""SELECT DISTINCT lower(hex(l.key)) AS key_hex, CASE WHEN s.generation IS NULL THEN 'none' ELSE 'string' END AS type, CASE WHEN s.generation IS NOT NULL THEN 'raw' END AS encoding
   FROM ({LOOKUPS}) l LEFT JOIN ({LIVE}) s ON l.db = s.db AND l.key = s.key""")
 def kv_type(spark, sf):
-    return reads.type_of(lookups(spark, sf).select("db", "key").distinct(), state(spark, sf)).select(key_hex(F.col("key")).alias("key_hex"), "type", "encoding")
+    hits = found(spark, sf, lookups(spark, sf).select("db", "key").distinct()).select("db", "key", "generation")
+    return reads.types(hits, F.col("generation").isNotNull()).select(key_hex(F.col("key")).alias("key_hex"), "type", "encoding")
 
 
 @query(f"SELECT db, lower(hex(key)) AS key_hex FROM ({LIVE}) WHERE starts_with(hex(key), hex('user:'::BLOB))")
 def kv_keys_prefix(spark, sf):
-    return reads.keys(state(spark, sf), "user:*").select("db", key_hex(F.col("key")).alias("key_hex"))
+    return reads.keys(state(spark, sf, keep=()), "user:*").select("db", key_hex(F.col("key")).alias("key_hex"))
 
 
 # u, any byte, e, r, colon, one of 1 to 4, anything; each as hex
 @query(f"SELECT db, lower(hex(key)) AS key_hex FROM ({LIVE}) WHERE regexp_full_match(hex(key), '75..65723A3[1-4](..)*')")
 def kv_keys_glob(spark, sf):
-    return reads.keys(state(spark, sf), "u?er:[1-4]*").select("db", key_hex(F.col("key")).alias("key_hex"))
+    return reads.keys(state(spark, sf, keep=()), "u?er:[1-4]*").select("db", key_hex(F.col("key")).alias("key_hex"))
 
 
 @query(f"""WITH k AS (SELECT key FROM ({LIVE}) WHERE db = 0 AND contains(hex(key), '3A')), p AS (SELECT key FROM k ORDER BY key LIMIT 10 OFFSET 20)
   SELECT lower(hex(key)) AS key_hex, CAST(CASE WHEN (SELECT count(*) FROM k) > 30 THEN 30 ELSE 0 END AS BIGINT) AS next_cursor FROM p""")
 def kv_scan_page(spark, sf):
-    return reads.scan(state(spark, sf), 0, 20, 10, "*:*").select(key_hex(F.col("key")).alias("key_hex"), "next_cursor")
+    return reads.scan(state(spark, sf, keep=()), 0, 20, 10, "*:*").select(key_hex(F.col("key")).alias("key_hex"), "next_cursor")
 
 
 @query()
 def kv_randomkey(spark, sf):
-    return reads.random_key(state(spark, sf), 7).select("db", key_hex(F.col("key")).alias("key_hex"))
+    return reads.random_key(state(spark, sf, keep=()), 7).select("db", key_hex(F.col("key")).alias("key_hex"))
 
 
 @query("SELECT * FROM (VALUES ('maxmemory', '0'), ('maxmemory-policy', 'noeviction')) AS t(name, value)")
@@ -134,7 +136,7 @@ def kv_config_get(spark, sf):
 
 @query(f"SELECT db, count(*) AS keys, CAST(sum(octet_length(key) + coalesce(octet_length(value), 0)) AS BIGINT) AS data_bytes FROM ({LIVE}) GROUP BY db")
 def kv_dbsize(spark, sf):
-    return reads.dbsize(state(spark, sf))
+    return reads.dbsize(state(spark, sf, keep=("value_bytes",)))
 
 
 @query("SELECT doc_id, CAST(coalesce(strlen(text), 0) AS INTEGER) AS n FROM documents")
@@ -158,9 +160,8 @@ def kv_setrange(spark, sf):
 
 
 def _ttl(spark, sf, unit):
-    asked = lookups(spark, sf).select("db", "key").distinct()
-    hit = reads.probe(asked, state(spark, sf).select("db", "key", "expires_at", F.lit(True).alias("found")))
-    return hit.select(key_hex(F.col("key")).alias("key_hex"), reads.ttl(F.col("expires_at"), F.coalesce("found", F.lit(False)), _now(), unit).alias("ttl"))
+    hit = found(spark, sf, lookups(spark, sf).select("db", "key").distinct())
+    return hit.select(key_hex(F.col("key")).alias("key_hex"), reads.ttl(F.col("expires_at"), F.col("generation").isNotNull(), _now(), unit).alias("ttl"))
 
 
 _TTL_FROM = f"FROM (SELECT DISTINCT db, key FROM ({LOOKUPS})) l LEFT JOIN ({LIVE}) s ON l.db = s.db AND l.key = s.key"
@@ -179,14 +180,14 @@ def kv_pttl_cmd(spark, sf):
 
 @query(f"SELECT db, count(*) AS expired FROM ({STATE}) WHERE expires_at <= TIMESTAMP '{AS_OF}' GROUP BY db")
 def kv_expiry_sweep(spark, sf):
-    return state(spark, sf, None).where(F.col("expires_at") <= _now()).groupBy("db").agg(F.count("*").alias("expired"))
+    return state(spark, sf, None, ()).where(F.col("expires_at") <= _now()).groupBy("db").agg(F.count("*").alias("expired"))
 
 
 @query(f"""SELECT db, lower(hex(key)) AS key_hex, CAST(300 AS BIGINT) AS expire_ttl, TIMESTAMP '{AS_OF}' + INTERVAL 300 SECOND AS expire_at,
   CAST(CASE WHEN ttl_secs > 0 THEN 1 ELSE 0 END AS INTEGER) AS persist_reply, CAST(1 AS BIGINT) AS pexpire_ttl FROM ({LIVE})""")
 def kv_expire_persist(spark, sf):
     """EXPIRE 300, PEXPIRE 1999 and PERSIST on every live key at AS_OF: new lifetimes, and PERSIST's reply."""
-    s = state(spark, sf)
+    s = state(spark, sf, keep=())
     return s.select("db", key_hex(F.col("key")).alias("key_hex"), F.lit(300).cast("long").alias("expire_ttl"), st.expires_at(_now(), F.lit(300)).alias("expire_at"),
         F.when(F.col("ttl_secs") > 0, 1).otherwise(0).alias("persist_reply"), F.floor(F.lit(1999) / 1000).cast("long").alias("pexpire_ttl"))
 
@@ -195,7 +196,7 @@ def kv_expire_persist(spark, sf):
   t <= TIMESTAMP '{AS_OF}' AS deleted FROM (SELECT *, ts + INTERVAL 7 DAY AS t FROM ({LIVE}) WHERE ts IS NOT NULL)""")
 def kv_expireat(spark, sf):
     """EXPIREAT seven days after each key's write, run at AS_OF: a moment that has passed deletes."""
-    s = state(spark, sf).where("ts IS NOT NULL").withColumn("t", F.col("ts") + F.expr("INTERVAL 7 DAYS"))
+    s = state(spark, sf, keep=()).where("ts IS NOT NULL").withColumn("t", F.col("ts") + F.expr("INTERVAL 7 DAYS"))
     left = F.floor((F.unix_micros(F.col("t").cast("timestamp")) - F.unix_micros(_now().cast("timestamp"))) / 1_000_000).cast("long")
     return s.select("db", key_hex(F.col("key")).alias("key_hex"), F.when(F.col("t") > _now(), left).alias("ttl"), (F.col("t") <= _now()).alias("deleted"))
 
@@ -204,7 +205,7 @@ def kv_expireat(spark, sf):
   SELECT db, hex('moved/'::BLOB) || hex(key) AS key_hex, 'PUT' AS kind, ttl_secs FROM p UNION ALL SELECT db, hex(key), 'DELETE', NULL FROM p""")
 def kv_rename(spark, sf):
     """RENAME user:* to moved/user:*: the rows that go to the log. Value and lifetime move, the old key is deleted."""
-    p = state(spark, sf).where(F.startswith(F.hex("key"), F.lit(b"user:".hex().upper())))
+    p = state(spark, sf, keep=()).where(key_match(F.col("key"), "user:*"))
     new = p.select("db", F.hex(F.concat(F.lit(b"moved/"), "key")).alias("key_hex"), F.lit("PUT").alias("kind"), "ttl_secs")
     return new.unionByName(p.select("db", F.hex("key").alias("key_hex"), F.lit("DELETE").alias("kind"), F.lit(None).cast("long").alias("ttl_secs")))
 
@@ -229,7 +230,7 @@ def kv_mset(spark, sf):
 @query(f"SELECT db, count(*) AS requested, count(generation) AS deleted FROM (SELECT DISTINCT l.db, l.key, s.generation FROM ({LOOKUPS}) l LEFT JOIN ({LIVE}) s ON l.db = s.db AND l.key = s.key) GROUP BY db")
 def kv_del(spark, sf):
     """DEL of all looked-up keys: how many are deleted; the second DEL of a key gives 0, as GETDEL gives null."""
-    hit = reads.probe(lookups(spark, sf).select("db", "key").distinct(), state(spark, sf).select("db", "key", "generation"))
+    hit = found(spark, sf, lookups(spark, sf).select("db", "key").distinct())
     return hit.groupBy("db").agg(F.count("*").alias("requested"), F.count("generation").alias("deleted"))
 
 
@@ -242,7 +243,7 @@ def _evicted(policy, key="lower(hex(key))"):
 
 def _evict(policy):
     def f(spark, sf):
-        return maintenance.evict(state(spark, sf), policy, 50, 3).select("db", key_hex(F.col("key")).alias("key_hex"))
+        return maintenance.evict(state(spark, sf, keep=()), policy, 50, 3).select("db", key_hex(F.col("key")).alias("key_hex"))
 
     f.__name__ = "kv_evict_" + policy.replace("-", "_")
     return f
@@ -283,18 +284,18 @@ def kv_unlink_files(spark, sf):
 @query()
 def kv_eviction_sample(spark, sf):
     shard = F.conv(F.substring(F.md5("key"), 1, 1), 16, 10).cast("int")
-    return maintenance.candidates(state(spark, sf), shard, 1, 5).select("db", "shard", key_hex(F.col("key")).alias("key_hex"), "generation")
+    return maintenance.candidates(state(spark, sf, keep=()), shard, 1, 5).select("db", "shard", key_hex(F.col("key")).alias("key_hex"), "generation")
 
 
 @query(f"SELECT db, lower(hex(key)) AS key_hex, generation FROM ({STATE})")
 def kv_compact(spark, sf):
-    return maintenance.compact(log(spark, sf).select("db", "key", "generation", "value"), state(spark, sf, None)).select("db", key_hex(F.col("key")).alias("key_hex"), "generation")
+    return maintenance.compact(log(spark, sf).select("db", "key", "generation", "value"), state(spark, sf, None, ())).select("db", key_hex(F.col("key")).alias("key_hex"), "generation")
 
 
 @query(f"""SELECT shard, count(*) AS n FROM (SELECT CAST(('0x' || substr(md5(key), 1, 2)) AS INTEGER) AS shard FROM ({LIVE})) GROUP BY shard""")
 def kv_export_shard(spark, sf):
     """Live keys by storage shard; 256 shards by a hash of the key."""
-    return state(spark, sf).select(F.conv(F.substring(F.md5("key"), 1, 2), 16, 10).cast("int").alias("shard")).groupBy("shard").agg(F.count("*").alias("n"))
+    return state(spark, sf, keep=()).select(F.conv(F.substring(F.md5("key"), 1, 2), 16, 10).cast("int").alias("shard")).groupBy("shard").agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT CAST(('0x' || substr(md5(key), 1, 2)) AS INTEGER) AS shard, db, lower(hex(key)) AS key_hex, lower(hex(value)) AS value_hex FROM ({LIVE})""")
@@ -306,7 +307,7 @@ def kv_export_pairs(spark, sf):
 
 @query(f"SELECT CAST(coalesce(sum(octet_length(key) + coalesce(octet_length(value), 0)), 0) AS BIGINT) AS used_memory, CASE WHEN coalesce(sum(octet_length(key) + coalesce(octet_length(value), 0)), 0) < 1024 THEN 'x' ELSE printf('%.2fK', sum(octet_length(key) + coalesce(octet_length(value), 0)) / 1024.0) END AS used_memory_k FROM ({LIVE})")
 def kv_memory(spark, sf):
-    return stats.memory(state(spark, sf)).select("used_memory", F.format_string("%.2fK", F.col("used_memory") / 1024.0).alias("used_memory_k"))
+    return stats.memory(state(spark, sf, keep=("value_bytes",))).select("used_memory", F.format_string("%.2fK", F.col("used_memory") / 1024.0).alias("used_memory_k"))
 
 
 @query(f"""WITH k AS (SELECT db, count(*) AS keys, count(expires_at) AS expires FROM ({LIVE}) GROUP BY db),
@@ -315,7 +316,7 @@ def kv_memory(spark, sf):
   SELECT 'keyspace' AS section, 'db' || db AS name, 'keys=' || keys || ',expires=' || expires AS value FROM k
   UNION ALL SELECT 'memory', 'used_memory', CAST(b AS VARCHAR) FROM m UNION ALL SELECT 'wal', 'bytes', CAST(bytes AS VARCHAR) FROM w UNION ALL SELECT 'wal', 'entries', CAST(entries AS VARCHAR) FROM w""")
 def kv_info(spark, sf):
-    s = state(spark, sf)
+    s = state(spark, sf, keep=("value_bytes",))
     space = s.groupBy("db").agg(F.count("*").alias("keys"), F.count("expires_at").alias("expires")).select(
         F.lit("keyspace").alias("section"), F.concat(F.lit("db"), F.col("db").cast("string")).alias("name"), F.format_string("keys=%d,expires=%d", "keys", "expires").alias("value"))
     wal = table(spark, sf, "kv_log").agg(F.sum(_entry_bytes()).alias("bytes"), F.count("*").alias("entries"))

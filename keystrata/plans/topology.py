@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from keystrata.functions.keys import effective_key, key_hex
 from keystrata.functions.slots import hash_tag, key_slot
 from keystrata.operators import cluster, stats
-from keystrata.plans.base import LIVE, crc16_sql, query, state
+from keystrata.plans.base import LIVE, crc16_sql, found, lookups, query
 from keystrata.session import table
 
 _NODES = "(SELECT *, row_number() OVER (ORDER BY node_id) - 1 AS rank, count(*) OVER () AS n FROM nodes)"
@@ -109,11 +109,7 @@ def kv_latency_hist(spark, sf):
 @query(f"""WITH r AS (SELECT *, sum(n) OVER (PARTITION BY op ORDER BY bucket) AS run, sum(n) OVER (PARTITION BY op) AS total FROM ({_HIST}))
   SELECT op, 1::BIGINT << (min(bucket) FILTER (run >= ceil(total * 0.5)) + 1) AS p50, 1::BIGINT << (min(bucket) FILTER (run >= ceil(total * 0.99)) + 1) AS p99, 1::BIGINT << (min(bucket) FILTER (run >= ceil(total * 0.999)) + 1) AS p999 FROM r GROUP BY op""")
 def kv_latency_percentiles(spark, sf):
-    h = _histogram(spark, sf)
-    out = stats.percentile_bound(h, ["op"], 0.5, "p50")
-    for p, name in ((0.99, "p99"), (0.999, "p999")):
-        out = out.join(stats.percentile_bound(h, ["op"], p, name), "op")
-    return out
+    return stats.percentile_bounds(_histogram(spark, sf), ["op"], {"p50": 0.5, "p99": 0.99, "p999": 0.999})
 
 
 @query(f"SELECT op, count(*) AS n, CAST(sum({_US}) AS BIGINT) // count(*) AS mean_us, max({_US}) AS max_us FROM peer_messages WHERE sent_ts IS NOT NULL AND recv_ts IS NOT NULL AND recv_ts >= sent_ts GROUP BY op")
@@ -127,11 +123,7 @@ def kv_latency_mean(spark, sf):
   FROM (SELECT from_node, CASE WHEN key_len IS NULL THEN key ELSE unhex(substr(hex(key), 1, 2 * greatest(key_len, 0)::BIGINT)) END AS key FROM peer_messages WHERE op = 49) l
   LEFT JOIN ({LIVE}) s ON s.db = 0 AND s.key = l.key WHERE octet_length(l.key) > 0 GROUP BY from_node""")
 def kv_hit_ratio(spark, sf):
-    from keystrata.operators.reads import probe
-    from keystrata.plans.base import lookups
-
-    hit = probe(lookups(spark, sf), state(spark, sf).select("db", "key", F.lit(True).alias("hit")))
-    return stats.hit_ratio(hit, F.coalesce("hit", F.lit(False)), ["from_node"])
+    return stats.hit_ratio(found(spark, sf, lookups(spark, sf)), F.col("generation").isNotNull(), ["from_node"])
 
 
 @query("""SELECT CASE WHEN op = 49 THEN 'gets' WHEN op IN (50, 65) THEN 'puts' WHEN op IN (51, 66) THEN 'deletes' ELSE 'other' END AS counter, count(*) AS n FROM peer_messages GROUP BY 1""")
