@@ -36,6 +36,14 @@ def float_text(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or pd.isna(v) else plain_float(v))
 
 
+def human_size(n: int) -> str:
+    """`human_bytes` of one number."""
+    if n < 1024:
+        return f"{n}B"
+    power = min(5, max(p for p in range(1, 6) if n >= 1024**p))
+    return f"{n / 1024**power:.2f}{'KMGTP'[power - 1]}"
+
+
 def human_bytes(n: Column) -> Column:
     """`512B`, `1.50K`, `2.00M` and so on to P: units of 1024, two decimals."""
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit("B")))

@@ -38,14 +38,12 @@ def fill_ratio(filter_: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def passing(rows: DataFrame, key: Sequence[str], filter_: DataFrame, bits: int = BITS, hashes: int = HASHES) -> DataFrame:
-    """The rows whose key may be in the filter: all that are, and few others. The filter is broadcast, as it is of fixed size (4 MB by default)."""
-    held = filter_.agg(F.map_from_entries(F.collect_list(F.struct("chunk", "bits"))).alias("_m"))
-    chunks = F.transform(F.sequence(F.lit(0), F.lit(-(-bits // CHUNK) - 1)), lambda i: F.element_at("_m", i))
-    held = held.select(chunks.alias("_filter"))
+    """The rows whose key may be in the filter: all that are, and few others. The filter goes to every task as one value, as it is of fixed size (4 MB by default)."""
+    chunks = F.transform(F.sequence(F.lit(0), F.lit(-(-bits // CHUNK) - 1)), lambda i: F.element_at("m", i))
+    whole = filter_.agg(F.map_from_entries(F.collect_list(F.struct("chunk", "bits"))).alias("m")).select(chunks.alias("chunks")).scalar()
     test = F.lit(True)
     for p in _places([F.col(c) for c in key], bits, hashes):
         at = (p % CHUNK).cast("int")
-        chunk = F.get("_filter", F.floor(p / CHUNK).cast("int"))
-        byte = F.ascii(F.decode(F.substring(chunk, F.shiftright(at, 3) + 1, F.lit(1)), "ISO-8859-1"))
+        byte = F.ascii(F.decode(F.substring(F.get(whole, F.floor(p / CHUNK).cast("int")), F.shiftright(at, 3) + 1, F.lit(1)), "ISO-8859-1"))
         test = test & (F.call_function("getbit", F.coalesce(byte, F.lit(0)).cast("long"), at % 8) == 1)
-    return rows.crossJoin(F.broadcast(held)).where(test).drop("_filter")
+    return rows.where(test)

@@ -11,12 +11,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.functions.glob import glob_to_regex
-from keystrata.functions.numbers import plain_float
+from keystrata.functions.numbers import human_size, plain_float
 from keystrata.functions.slots import CRC16, SLOTS
+from keystrata.operators import prefix
+from keystrata.operators.reads import small
 from keystrata.session import ship
 from keystrata.sources.resp import Error, Status
 
@@ -68,6 +70,7 @@ class Connection:
     queue: list[list[bytes]] | None = None
     watched: dict[tuple[int, bytes], int | None] = field(default_factory=dict)
     selected: bool = False
+    readonly: bool = False
 
 
 class Refused(Exception):
@@ -88,23 +91,50 @@ def command(name: str, arity: int):
     return add
 
 
+@dataclass(frozen=True)
+class Node:
+    """One node's view of its cluster, for commands that it may not answer itself.
+
+    `ranges` (first slot, last slot, node id of the primary, ids of the replicas) and `addresses` (node id, redis address) are few. With `replica_read` a
+    connection that has sent READONLY is answered from the replicas that this node holds.
+    """
+
+    node_id: int
+    ranges: tuple[tuple[int, int, int, tuple[int, ...]], ...]
+    addresses: tuple[tuple[int, str], ...]
+    replica_read: bool = False
+    statuses: tuple[tuple[int, str], ...] = ()
+
+    def owner(self, slot: int) -> tuple[int | None, tuple[int, ...]]:
+        return next(((p, r) for first, last, p, r in self.ranges if first <= slot <= last), (None, ()))
+
+
 class Store:
-    """Databases, connections and subscriptions of one command stream."""
+    """Databases, connections and subscriptions of one command stream.
 
-    def __init__(self, max_keys: int | None = None, node: dict | None = None):
+    With `max_keys` and `max_bytes` (of keys and values, for each database) a write that would go beyond is refused. An expired key keeps
+    its place until it is touched. With `resolved` the database of a command is given with it, SELECT or not.
+    """
+
+    def __init__(self, max_keys: int | None = None, node: Node | None = None, max_bytes: int | None = None, resolved: bool = False):
         self.dbs: dict[int, dict[bytes, Entry]] = {}
+        self.held: dict[int, int] = {}
         self.generation: dict[int, int] = {}
         self.conns: dict[int, Connection] = {}
         self.exact: dict[bytes, set[int]] = {}
         self.patterns: dict[bytes, set[int]] = {}
-        self.max_keys, self.now = max_keys, 0
+        self.max_keys, self.max_bytes, self.node, self.resolved, self.now = max_keys, max_bytes, node, resolved, 0
 
     # state
 
+    def _forget(self, db: int, key: bytes) -> None:
+        e = self.dbs[db].pop(key)
+        self.held[db] -= len(key) + len(e.value)
+
     def peek(self, c: Connection, key: bytes) -> Entry | None:
         e = self.dbs.setdefault(c.db, {}).get(key)
         if e is not None and e.gone(self.now):
-            del self.dbs[c.db][key]
+            self._forget(c.db, key)
             return None
         return e
 
@@ -118,24 +148,42 @@ class Store:
     def put(self, c: Connection, key: bytes, value: bytes, ttl: int = 0) -> None:
         if len(key) > 65_535:
             raise Refused("ERR key too long")
-        if self.max_keys is not None and not self.peek(c, key) and len(self.alive(c)) >= self.max_keys:
+        old = self.peek(c, key)
+        held = self.dbs.setdefault(c.db, {})
+        more = len(key) + len(value) - (len(key) + len(old.value) if old else 0)
+        if (self.max_keys is not None and not old and len(held) >= self.max_keys) or (self.max_bytes is not None and self.held.get(c.db, 0) + more > self.max_bytes):
             raise Refused("OOM command not allowed when used memory > 'maxmemory'.")
-        self.dbs.setdefault(c.db, {})[key] = Entry(value, ttl, self.now, self._next(c.db))
+        self.held[c.db] = self.held.get(c.db, 0) + more
+        held[key] = Entry(value, ttl, self.now, self._next(c.db))
 
     def drop(self, c: Connection, key: bytes) -> bool:
         if not self.peek(c, key):
             return False
         self._next(c.db)
-        del self.dbs[c.db][key]
+        self._forget(c.db, key)
         return True
 
+    def elsewhere(self, c: Connection, name: bytes, args: list[bytes]) -> Error | None:
+        """Why this node does not run a command on keys: their slot is another's, or MGET and MSET name several slots."""
+        if self.node is None or name not in KEYED:
+            return None
+        keys = args[::2] if name == b"MSET" else args if name == b"MGET" else args[:1]
+        slots = [slot_of(k) for k in keys]
+        moved = None
+        owner, replicas = self.node.owner(slots[0])
+        if owner != self.node.node_id and not (c.readonly and self.node.replica_read and name in READS and self.node.node_id in replicas):
+            moved = Error(f"MOVED {slots[0]} {dict(self.node.addresses).get(owner, '')}" if owner is not None else "CLUSTERDOWN Hash slot not served")
+        if name == b"MSET" and moved:  # asked of the first key before the other slots are looked at
+            return moved
+        return Error("CROSSSLOT Keys in request don't hash to the same slot") if len(set(slots)) > 1 else moved
+
     # dispatch
 
     def run(self, conn: int, db: int | None, args: list[bytes], now: int) -> object:
         """The reply to one command. `db` is the connection's database until it has run a SELECT."""
         self.now = max(now, 0)
         c = self.conns.setdefault(conn, Connection())
-        if not c.selected:
+        if not c.selected or self.resolved:
             c.db = db or 0
         name = args[0].upper() if args and args[0] is not None else b""
         if c.queue is not None and name not in (b"MULTI", b"EXEC", b"DISCARD", b"WATCH"):
@@ -150,6 +198,9 @@ class Store:
             return Error(f"ERR Unknown command '{name.decode('latin-1')}'")
         if len(args) - 1 < known[0] or any(a is None for a in args[1:]):
             return Error(f"ERR wrong number of arguments for '{name.decode().lower()}' command")
+        moved = self.elsewhere(c, name, args[1:])
+        if moved is not None:
+            return moved
         try:
             return known[1](self, c, args[1:], conn)
         except Refused as e:
@@ -502,7 +553,7 @@ def _randomkey(s, c, a, conn):
 
 @command("FLUSHDB", 0)
 def _flushdb(s, c, a, conn):
-    s.dbs[c.db] = {}
+    s.dbs[c.db], s.held[c.db] = {}, 0
     s._next(c.db)
     return Status("OK")
 
@@ -510,7 +561,7 @@ def _flushdb(s, c, a, conn):
 @command("FLUSHALL", 0)
 def _flushall(s, c, a, conn):
     for db in s.dbs:
-        s.dbs[db] = {}
+        s.dbs[db], s.held[db] = {}, 0
         s._next(db)
     return Status("OK")
 
@@ -524,8 +575,20 @@ def _select(s, c, a, conn):
     return Status("OK")
 
 
-for _name, _reply in (("READONLY", Status("OK")), ("READWRITE", Status("OK")), ("WAIT", 0), ("COMMAND", [])):
+for _name, _reply in (("WAIT", 0), ("COMMAND", [])):
     command(_name, 0)(lambda s, c, a, conn, r=_reply: r)
+
+
+def _reading(only: bool):
+    def f(s, c, a, conn):
+        c.readonly = only
+        return Status("OK")
+
+    return f
+
+
+command("READONLY", 0)(_reading(True))
+command("READWRITE", 0)(_reading(False))
 for _name in ("DUMP", "DEBUG", "RESTORE"):
     command(_name, 0)(lambda s, c, a, conn, n=_name: Error(f"ERR {n} not supported"))
 
@@ -544,22 +607,52 @@ def _config(s, c, a, conn):
 
 @command("INFO", 0)
 def _info(s, c, a, conn):
-    lines = ["# Keyspace"]
+    """Server, Memory, Replication and Keyspace; figures that a stream of commands does not have (caches, latencies, files) are in `stats`."""
+    space, entries, total = [], 0, 0
     for db in sorted(s.dbs):
         own = Connection(db)
         n = len(s.alive(own))
+        entries, total = entries + n, total + s.held.get(db, 0)
         if n:
-            lines.append(f"db{db}:keys={n},expires={sum(1 for k in s.alive(own) if s.dbs[db][k].ttl)}")
+            space.append(f"db{db}:keys={n},expires={sum(1 for k in s.alive(own) if s.dbs[db][k].ttl)}")
+    lines = ["# Server", "redis_version:7.0.0", f"redis_mode:{'cluster' if s.node else 'standalone'}", "# Memory", f"used_memory:{total}", f"used_memory_human:{human_size(total)}",
+        f"used_memory_peak:{total}", f"maxmemory:{s.max_bytes or 0}", "maxmemory_policy:noeviction", f"keyspace_live_entries:{entries}",
+        "# Replication", "role:master", *([] if s.node else ["connected_slaves:0"]), "# Keyspace", *space]
     return ("\r\n".join(lines) + "\r\n").encode()
 
 
 @command("CLUSTER", 1)
 def _cluster(s, c, a, conn):
-    if a[0].upper() == b"KEYSLOT" and len(a) > 1:
+    sub, node = a[0].upper(), s.node
+    if sub == b"KEYSLOT" and len(a) > 1:
         return slot_of(a[1])
-    if a[0].upper() == b"INFO":
-        return b"cluster_enabled:0\r\n"
-    raise Refused("ERR This instance has cluster support disabled")
+    if sub == b"MYID":
+        return f"{node.node_id if node else 0:040x}".encode()
+    if sub == b"INFO":
+        if node is None:
+            return b"cluster_enabled:0\r\n"
+        status = {i: st.lower() for i, st in node.statuses}
+        n = {st: sum(last - first + 1 for first, last, p, _ in node.ranges if status.get(p, "active") == st) for st in ("suspect", "dead")}
+        ok, known = sum(last - first + 1 for first, last, *_ in node.ranges) - sum(n.values()), len(node.addresses)
+        active = sum(status.get(i, "active") == "active" for i, _ in node.addresses)
+        pairs = {"cluster_enabled": 1, "cluster_state": "ok", "cluster_slots_assigned": SLOTS, "cluster_slots_ok": ok, "cluster_slots_pfail": n["suspect"], "cluster_slots_fail": n["dead"],
+            "cluster_known_nodes": known, "cluster_size": active, "local_node_id": node.node_id}
+        return "".join(f"{k}:{v}\r\n" for k, v in pairs.items()).encode()
+    if sub == b"NODES":
+        if node is None:
+            return b"standalone mode"
+        mark = {"suspect": ",fail?", "dead": ",fail"}
+        out = []
+        for i, address in node.addresses:
+            own = " ".join(f"{first}-{last}" if first < last else f"{first}" for first, last, p, _ in node.ranges if p == i)
+            flags = ("myself," if i == node.node_id else "") + "master" + mark.get(dict(node.statuses).get(i, "active").lower(), "")
+            out.append(f"{i:040x} {address} {flags} - 0 0 0 connected {own}\n")
+        return "".join(out).encode()
+    if sub == b"SLOTS" and node is not None:
+        at = dict(node.addresses)
+        place = lambda i: [at.get(i, ":0").rsplit(":", 1)[0].encode(), int(at.get(i, ":0").rsplit(":", 1)[1]), f"{i:040x}".encode()]
+        return [[first, last, place(p), *[place(r) for r in rs]] for first, last, p, rs in node.ranges]
+    raise Refused("ERR This instance has cluster support disabled" if node is None else "ERR unknown subcommand")
 
 
 @command("MULTI", 0)
@@ -636,6 +729,10 @@ def _publish(s, c, a, conn):
 #: Commands that touch one key only, and those that touch none.
 ONE_KEY = """GET SET SETNX SETEX PSETEX GETDEL GETEX TYPE STRLEN APPEND GETRANGE SETRANGE INCR DECR INCRBY DECRBY INCRBYFLOAT
 TTL PTTL EXPIRE PEXPIRE EXPIREAT PEXPIREAT PERSIST""".split()
+#: Commands on keys, and those of them that only read.
+KEYED = {n.encode() for n in (*ONE_KEY, "MGET", "MSET", "DEL", "UNLINK", "EXISTS", "RENAME", "RENAMENX", "COPY")}
+READS = {b"GET", b"MGET", b"EXISTS", b"TYPE", b"STRLEN", b"GETRANGE", b"TTL", b"PTTL"}
+PUBSUB = "PUBLISH SUBSCRIBE PSUBSCRIBE UNSUBSCRIBE PUNSUBSCRIBE".split()
 NO_KEY = "PING ECHO TIME READONLY READWRITE WAIT COMMAND DUMP DEBUG RESTORE CONFIG".split()
 REPLY = "seq long, kind string, str string, int long, bulk binary, items array<binary>"
 
@@ -651,29 +748,38 @@ def _reply_row(r: object) -> tuple:
     if isinstance(r, list):
         flat: list = []
         for x in r:
-            flat += _reply_row(x)[4] if isinstance(x, list) else [x if x is None or isinstance(x, bytes) else str(x).encode()]
+            flat += (_reply_row(x)[4] or []) if isinstance(x, list) else [x if x is None or isinstance(x, bytes) else str(x).encode()]
         return "array", None, None, None, flat
     return "bulk", None, None, r, None
 
 
-def replay(commands: DataFrame, max_keys: int | None = None) -> DataFrame:
+def replay(commands: DataFrame, max_keys: int | None = None, *, max_bytes: int | None = None, node: Node | None = None) -> DataFrame:
     """Replies (seq, kind, str, int, bulk, items) to commands (seq, db, conn_id, cmd, args, ts), one for each.
 
     Commands run in the order of `seq`. Where a database sees only commands of one key, each key is its own ordered stream; else
-    the database is one stream, as it is with `max_keys`, a cap on all its keys; a SELECT, FLUSHALL, pub/sub or INFO makes the whole
-    table one. Streams are read in order with the live keys as the only state. Null args count as none, a null cmd is an unknown command, a null ts takes the stream's last time,
-    a null conn_id is connection 0, a null db database 0.
+    the database is one stream, as it is with `max_keys` or `max_bytes`, caps on all its keys. What a connection has SELECTed is found before, so databases
+    stay streams of their own; publishing and subscribing is a stream by itself. A FLUSHALL or INFO, and a MULTI in a table with SELECT or
+    subscriptions, makes the whole table one stream. Streams are read in order with the live keys as the only state. `node` makes commands on other nodes' slots errors. Null
+    args count as none, a null cmd is an unknown command, a null ts takes the stream's last time, a null conn_id is connection 0, a null db database 0.
     """
     ship(commands.sparkSession)
     c = commands.select("seq", F.coalesce("db", F.lit(0)).cast("int").alias("db"), F.coalesce("conn_id", F.lit(0)).cast("long").alias("conn_id"),
         F.upper(F.coalesce("cmd", F.lit(""))).alias("cmd"), F.coalesce("args", F.array().cast("array<binary>")).alias("args"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    wide = F.col("cmd").isin("SELECT", "FLUSHALL", "INFO", "PUBLISH", "SUBSCRIBE", "PSUBSCRIBE", "UNSUBSCRIBE", "PUNSUBSCRIBE")
-    linked = F.max(~F.col("cmd").isin(*ONE_KEY, *NO_KEY)) if max_keys is None else F.lit(True)
-    links = c.groupBy("db").agg(linked.alias("linked"), F.max(wide).alias("wide"))
-    links = links.withColumn("wide", F.max("wide").over(Window.partitionBy()))
-    stream = F.when(F.col("wide"), F.lit("*")).when(F.col("linked"), F.concat(F.lit("d"), F.col("db").cast("string"))).otherwise(
+    is_ = lambda *names: F.col("cmd").isin(*names)
+    says = c.agg(F.max(is_("SELECT")), F.max(is_("MULTI")), F.max(is_("FLUSHALL", "INFO")), F.max(is_(*PUBSUB)), F.max(is_("READONLY", "READWRITE"))).first()
+    select, multi, wide, talk, reading = (bool(x) for x in says)
+    wide = wide or (multi and (select or talk)) or (reading and node is not None)
+    resolved = select and not wide
+    if resolved:
+        chosen = F.expr("try_cast(cast(get(args, 0) as string) as int)")
+        valid = is_("SELECT") & (F.expr("cast(get(args, 0) as string)").rlike(r"^[+-]?[0-9]+$")) & chosen.between(0, DATABASES - 1)
+        c = prefix.last_value(c, ["conn_id"], "seq", chosen, F.coalesce(valid, F.lit(False)), "chosen", before=False)
+        c = c.withColumn("db", F.coalesce("chosen", "db")).drop("chosen")
+    linked = F.max(~is_(*ONE_KEY, *NO_KEY, "SELECT", *PUBSUB)) if max_keys is None and max_bytes is None else F.lit(True)
+    links = c.groupBy("db").agg(linked.alias("linked"))
+    stream = F.when(F.lit(wide), F.lit("*")).when(is_(*PUBSUB), F.lit("p")).when(F.col("linked"), F.concat(F.lit("d"), F.col("db").cast("string"))).otherwise(
         F.concat(F.lit("k"), F.col("db").cast("string"), F.lit("/"), F.coalesce(F.hex(F.try_element_at("args", F.lit(1))), F.lit(""))))
-    rows = c.join(F.broadcast(links), "db").withColumn("stream", stream).drop("linked", "wide")
+    rows = c.join(F.broadcast(links) if small(links, 100_000) else links, "db").withColumn("stream", stream).drop("linked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, store, now = None, None, 0
@@ -681,7 +787,7 @@ def replay(commands: DataFrame, max_keys: int | None = None) -> DataFrame:
             out: list[tuple] = []
             for stream_, seq, db, conn, cmd, args, us in zip(*(b[x].to_pylist() for x in ("stream", "seq", "db", "conn_id", "cmd", "args", "us"))):
                 if stream_ != at or store is None:
-                    at, store, now = stream_, Store(max_keys), 0
+                    at, store, now = stream_, Store(max_keys, node, max_bytes, resolved), 0
                 now = now if us is None else us
                 out.append((seq, *_reply_row(store.run(conn, db, [cmd.encode(), *args], now))))
             cols = [list(x) for x in zip(*out)] or [[]] * 6
@@ -689,3 +795,16 @@ def replay(commands: DataFrame, max_keys: int | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, types)], names=["seq", "kind", "str", "int", "bulk", "items"])
 
     return rows.repartition("stream").sortWithinPartitions("stream", "seq").mapInArrow(run, REPLY)
+
+
+def cluster_node(slots: DataFrame, nodes: DataFrame, node_id: int, *, replica_read: bool = False) -> Node:
+    """A node's view from slots (slot, primary, replicas) and nodes (node_id, redis_addr, status). Both are as small as a cluster is: 16,384 slots at most."""
+    held = sorted((r["slot"], r["primary"], tuple(r["replicas"] or ())) for r in slots.select("slot", "primary", "replicas").collect())
+    ranges: list[list] = []
+    for slot, primary, replicas in held:
+        if ranges and ranges[-1][1] == slot - 1 and ranges[-1][2:] == [primary, replicas]:
+            ranges[-1][1] = slot
+        else:
+            ranges.append([slot, slot, primary, replicas])
+    known = sorted((r["node_id"], r["redis_addr"], r["status"]) for r in nodes.select("node_id", "redis_addr", "status").collect())
+    return Node(node_id, tuple(tuple(r) for r in ranges), tuple((i, a) for i, a, _ in known), replica_read, tuple((i, st) for i, _, st in known))

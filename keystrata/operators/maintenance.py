@@ -52,7 +52,7 @@ def evict(state: DataFrame, policy: str, max_keys: int | None = None, seed: int
     carry no read time. `size` gives a row's bytes (by default those of key and value); the first rows are taken whose bytes reach the excess. The state is folded
     once and written; the cut of each db is found in two steps over its range of the order, so only a millionth of a range is ranked by one task (with
     `max_bytes`: a running sum over the leads, and the rows of one lead are ranked). Databases are few, so
-    what is kept for each of them is broadcast.
+    what is kept for each of them is broadcast. Rows with a null db are in none and stay.
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy}")
@@ -86,34 +86,37 @@ def evict(state: DataFrame, policy: str, max_keys: int | None = None, seed: int
     return asked.where("whole").select(*names).unionByName(part.where("k0 + rn <= more_keys OR b0 + begun < more_bytes").select(*names))
 
 
-def over_capacity(log: DataFrame, max_keys: int, tie: str | None = "entry_id") -> DataFrame:
+def over_capacity(log: DataFrame, max_keys: int | None, tie: str | None = "entry_id", *, max_bytes: int | None = None) -> DataFrame:
     """noeviction with a cap: the PUTs of `log` (kind, db, key, generation) as (db, key, generation, oom), where `oom` is whether the
     db holds `max_keys` keys at that moment and this one isn't among them.
 
     PUTs and DELETEs of a db go in the order of the generations: a refused PUT leaves nothing, so a later one of its key is asked
     again; a DELETE frees the slot. The same generation of a key again is the same change; of such rows the one with the lowest
-    `tie` counts. An expired key keeps its slot until it is deleted. A db is one task's stream, with at most `max_keys` keys as its
+    `tie` counts. An expired key keeps its slot until it is deleted. With `max_bytes`, and value_bytes in the log (see `reads.with_sizes`), a PUT is also refused if the bytes of keys
+    and values would be more, and then leaves the old value. A db is one task's stream, with at most `max_keys` keys as its
     state: what is refused hangs on all that was admitted before.
     """
     ship(log.sparkSession)
-    rows = log.where(F.col("kind").isin("PUT", "DELETE")).select("db", "key", "generation", (F.col("kind") == "PUT").alias("put"), *([tie] if tie else []))
+    rows = log.where(F.col("kind").isin("PUT", "DELETE")).select("db", "key", "generation", (F.col("kind") == "PUT").alias("put"), (F.octet_length("key") + (F.lit(0) if max_bytes is None else F.col("value_bytes"))).cast("long").alias("size"), *([tie] if tie else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, last, held, begun = None, None, set(), False
+        at, last, held, total, begun = None, None, {}, 0, False
         for b in batches:
             taken, oom = [], []
-            for i, (db, key, generation, put) in enumerate(zip(*(b[c].to_pylist() for c in ("db", "key", "generation", "put")))):
+            for i, (db, key, generation, put, size) in enumerate(zip(*(b[c].to_pylist() for c in ("db", "key", "generation", "put", "size")))):
                 if not begun or db != at:
-                    at, last, held, begun = db, None, set(), True
+                    at, last, held, total, begun = db, None, {}, 0, True
                 if (generation, key) == last:
                     continue
                 last = (generation, key)
                 if not put:
-                    held.discard(key)
+                    total -= held.pop(key, 0)
                     continue
-                refused = key not in held and len(held) >= max_keys
+                more = size - held.get(key, 0)
+                refused = (max_keys is not None and key not in held and len(held) >= max_keys) or (max_bytes is not None and total + more > max_bytes)
                 if not refused:
-                    held.add(key)
+                    held[key] = size
+                    total += more
                 taken.append(i)
                 oom.append(refused)
             own = b.select(["db", "key", "generation"]).take(pa.array(taken, pa.int64()))

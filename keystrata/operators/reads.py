@@ -139,6 +139,12 @@ def ttl(expires: Column, found: Column, as_of: Column, unit_us: int) -> Column:
     return F.when(~found, F.lit(-2)).when(expires.isNull(), F.lit(-1)).when(left <= 0, F.lit(-2)).otherwise(F.floor(left / unit_us)).cast("long")
 
 
+def pexpire(ms: Column) -> Column:
+    """The lifetime in whole seconds that PEXPIRE gives a key that lives; null where nothing is left and the key is deleted."""
+    secs = F.floor(ms / 1000).cast("long")
+    return F.when(secs > 0, secs)
+
+
 def strlen(value: Column) -> Column:
     """STRLEN: bytes, 0 for a missing key."""
     return F.coalesce(F.octet_length(value), F.lit(0))

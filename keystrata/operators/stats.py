@@ -60,6 +60,31 @@ def info(sections: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def server(mode: str, spark) -> DataFrame:
+    """The Server section: version and mode."""
+    return spark.createDataFrame([("7.0.0", mode)], "redis_version string, redis_mode string")
+
+
+def replication(lags: DataFrame) -> DataFrame:
+    """The Replication section as (section, name, value) from (node_id, sent, acked, failed, lag, diverged), one row for each replica."""
+    names = ["sent", "acked", "failed", "lag", "diverged"]
+    text = lags.select("node_id", *[F.coalesce(F.col(c).cast("long"), F.lit(0)).cast("string").alias(c) for c in names]).unpivot(["node_id"], names, "what", "value")
+    each = text.select(F.lit("replication").alias("section"), F.concat_ws("_", F.lit("replica"), F.col("node_id").cast("string"), "what").alias("name"), "value")
+    total = lags.agg(F.coalesce(F.sum("sent"), F.lit(0)).alias("repl_entries_sent"), F.coalesce(F.sum("failed"), F.lit(0)).alias("repl_errors")).withColumn("role", F.lit("master"))
+    return each.unionByName(info({"replication": total}))
+
+
+def latencystats(df: DataFrame, op: Column, us: Column) -> DataFrame:
+    """The Latencystats section as (section, name, value): percentiles (bounds of their buckets), the largest latency and the number of each operation."""
+    rows = df.select(op.alias("op"), us.alias("us")).where("op IS NOT NULL")
+    bounds = percentile_bounds(histogram(rows, F.col("us"), ["op"]), ["op"], {"p50": 0.5, "p99": 0.99, "p999": 0.999})
+    both = rows.groupBy("op").agg(F.count("us").alias("n"), F.coalesce(F.max("us"), F.lit(0)).alias("max")).join(bounds, "op", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    line = F.format_string("p50=%d,p99=%d,p999=%d,max=%d", zero("p50"), zero("p99"), zero("p999"), F.greatest(zero("max"), F.lit(0)))
+    both = both.select("op", F.array(F.struct(F.concat(F.lit("latency_percentiles_usec_"), "op").alias("name"), line.alias("value")), F.struct(F.concat("op", F.lit("_ops")).alias("name"), F.col("n").cast("string").alias("value"))).alias("x"))
+    return both.select(F.lit("latencystats").alias("section"), F.inline("x"))
+
+
 def memory(state: DataFrame) -> DataFrame:
     """used_memory and used_memory_human of a state: bytes of keys and values."""
     size = F.sum(entry_size(state)).cast("long")

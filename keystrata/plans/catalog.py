@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from keystrata.plans import base, extra, folds, problems, store, streams, topology
+from keystrata.plans import base, commands, extra, folds, problems, store, streams, topology
 
-MODULES = (store, folds, topology, streams, extra, problems)
+MODULES = (store, folds, commands, topology, streams, extra, problems)
 QUERIES = {**problems.QUERIES, **base.QUERIES}
 SQL = {**problems.SQL, **base.SQL}

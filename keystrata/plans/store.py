@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from keystrata.functions.glob import key_match
 from keystrata.functions.keys import key_hex
-from keystrata.operators import maintenance, reads, stats
+from keystrata.operators import bloom, maintenance, reads, stats
 from keystrata.operators import state as st
-from keystrata.plans.base import AS_OF, ASCII_KEY, CHANGES, LIVE, LOOKUPS, LWW, SNAPSHOT_AT, STATE, found, log, lookups, query, state
+from keystrata.plans.base import AS_OF, CHANGES, LIVE, LOOKUPS, LWW, SNAPSHOT_AT, STATE, found, log, lookups, query, state
 from keystrata.session import table
 
 _hex = lambda c: F.lower(F.hex(c))
@@ -121,9 +121,23 @@ def kv_scan_page(spark, sf):
     return reads.scan(state(spark, sf, keep=()), 0, 20, 10, "*:*").select(key_hex(F.col("key")).alias("key_hex"), "next_cursor")
 
 
-@query()
+@query(f"""WITH k AS (SELECT key FROM ({LIVE}) WHERE db = 0 AND contains(hex(key), '3A') AND hex(key) > hex('s'::BLOB)), p AS (SELECT lower(hex(key)) AS key_hex FROM k ORDER BY hex(key) LIMIT 15)
+  SELECT key_hex, CASE WHEN (SELECT count(*) FROM k) > 15 THEN (SELECT max(key_hex) FROM p) END AS next_hex FROM p""")
+def kv_scan_after(spark, sf):
+    return reads.scan_after(state(spark, sf, keep=()), 0, b"s", 15, "*:*").select(key_hex(F.col("key")).alias("key_hex"), key_hex(F.col("next_after")).alias("next_hex"))
+
+
+def _members(drawn, spark, sf, *by, n="n"):
+    """Of drawn keys: how many, how many of them are different, and how many are no live keys."""
+    held = state(spark, sf, keep=()).select(F.col("db").alias("d"), F.col("key").alias("k"))
+    j = drawn.join(held, (F.col("db") == F.col("d")) & (F.col("key") == F.col("k")), "left")
+    return j.groupBy(*by).agg(F.count("*").alias(n), F.count_distinct("db", "key").alias("keys"), F.count_if(F.col("k").isNull()).alias("strangers"))
+
+
+@query(f"SELECT db, CAST(1 AS BIGINT) AS n, CAST(1 AS BIGINT) AS keys, CAST(0 AS BIGINT) AS strangers FROM ({LIVE}) GROUP BY db")
 def kv_randomkey(spark, sf):
-    return reads.random_key(state(spark, sf, keep=()), 7).select("db", key_hex(F.col("key")).alias("key_hex"))
+    """One live key of each database; which one hangs on the seed."""
+    return _members(reads.random_key(state(spark, sf, keep=()), 7), spark, sf, "db")
 
 
 @query("SELECT * FROM (VALUES ('maxmemory', '0'), ('maxmemory-policy', 'noeviction')) AS t(name, value)")
@@ -150,7 +164,8 @@ def kv_getrange(spark, sf):
     return table(spark, sf, "part").select("p_partkey", reads.getrange(v, 0, 4).cast("string").alias("head"), reads.getrange(v, -5, -1).cast("string").alias("tail"), reads.getrange(v, 7, 3).cast("string").alias("none"))
 
 
-@query("SELECT p_partkey, rpad(substr(p_name, 1, 3), 3, '?') || 'XY' || substr(p_name, 6) AS over_, hex(p_name::BLOB) || repeat('00', greatest(40 - length(p_name), 0)::BIGINT) || '7A' AS padded_hex FROM part WHERE length(p_name) BETWEEN 6 AND 40")
+@query("""WITH p AS (SELECT p_partkey, hex(coalesce(p_name, '')::BLOB) AS h FROM part)
+  SELECT p_partkey, decode(unhex(rpad(substr(h, 1, 6), 6, '0') || '5859' || substr(h, 11))) AS over_, rpad(substr(h, 1, 80), 80, '0') || '7A' || substr(h, 83) AS padded_hex FROM p""")
 def kv_setrange(spark, sf):
     v = F.col("p_name").cast("binary")
     return table(spark, sf, "part").select("p_partkey", reads.setrange(v, 3, b"XY").cast("string").alias("over_"), F.hex(reads.setrange(v, 40, b"z")).alias("padded_hex"))
@@ -184,12 +199,12 @@ def kv_expiry_sweep(spark, sf):
 
 
 @query(f"""SELECT db, lower(hex(key)) AS key_hex, CAST(300 AS BIGINT) AS expire_ttl, TIMESTAMP '{AS_OF}' + INTERVAL 300 SECOND AS expire_at,
-  CAST(CASE WHEN ttl_secs > 0 THEN 1 ELSE 0 END AS INTEGER) AS persist_reply, CAST(1 AS BIGINT) AS pexpire_ttl FROM ({LIVE})""")
+  CAST(CASE WHEN ttl_secs > 0 THEN 1 ELSE 0 END AS INTEGER) AS persist_reply, nullif(generation % 4000 // 1000, 0) AS pexpire_ttl FROM ({LIVE})""")
 def kv_expire_persist(spark, sf):
-    """EXPIRE 300, PEXPIRE 1999 and PERSIST on every live key at AS_OF: new lifetimes, and PERSIST's reply."""
+    """EXPIRE 300, PEXPIRE (generation % 4000) and PERSIST on every live key at AS_OF: new lifetimes, null where PEXPIRE deletes, and PERSIST's reply."""
     s = state(spark, sf, keep=())
     return s.select("db", key_hex(F.col("key")).alias("key_hex"), F.lit(300).cast("long").alias("expire_ttl"), st.expires_at(_now(), F.lit(300)).alias("expire_at"),
-        F.when(F.col("ttl_secs") > 0, 1).otherwise(0).alias("persist_reply"), F.floor(F.lit(1999) / 1000).cast("long").alias("pexpire_ttl"))
+        F.when(F.col("ttl_secs") > 0, 1).otherwise(0).alias("persist_reply"), reads.pexpire(F.col("generation") % 4000).alias("pexpire_ttl"))
 
 
 @query(f"""SELECT db, lower(hex(key)) AS key_hex, CAST(CASE WHEN t > TIMESTAMP '{AS_OF}' THEN (epoch_us(t) - epoch_us(TIMESTAMP '{AS_OF}')) // 1000000 END AS BIGINT) AS ttl,
@@ -243,19 +258,55 @@ def _evicted(policy, key="lower(hex(key))"):
 
 def _evict(policy):
     def f(spark, sf):
-        return maintenance.evict(state(spark, sf, keep=()), policy, 50, 3).select("db", key_hex(F.col("key")).alias("key_hex"))
+        gone = maintenance.evict(state(spark, sf, keep=()), policy, 50, 3)
+        return _members(gone, spark, sf, "db", n="evicted") if "random" in policy else gone.select("db", key_hex(F.col("key")).alias("key_hex"))
 
     f.__name__ = "kv_evict_" + policy.replace("-", "_")
     return f
 
 
+def _evicted_at_random(policy):
+    may = "count(*)" if policy.startswith("allkeys") else "count(expires_at)"
+    return f"""SELECT db, n AS evicted, n AS keys, CAST(0 AS BIGINT) AS strangers FROM (SELECT db, least({may}, count(*) - 50) AS n FROM ({LIVE}) GROUP BY db) WHERE n > 0"""
+
+
 for _p in maintenance.POLICIES[1:]:
-    query(None if "random" in _p else _evicted(_p))(_evict(_p))
+    query(_evicted_at_random(_p) if "random" in _p else _evicted(_p))(_evict(_p))
+
+_BYTES = "octet_length(key) + coalesce(octet_length(value), 0)"
+
+
+@query(f"""WITH s AS (SELECT *, {_BYTES} AS b FROM ({LIVE})), x AS (SELECT db, sum(b) - 9000 AS excess FROM s GROUP BY db)
+  SELECT db, lower(hex(key)) AS key_hex FROM (SELECT s.*, excess, sum(b) OVER (PARTITION BY db ORDER BY expires_at, generation, key ROWS UNBOUNDED PRECEDING) - b AS begun FROM s JOIN x USING (db) WHERE expires_at IS NOT NULL) WHERE begun < excess""")
+def kv_evict_bytes(spark, sf):
+    """volatile-ttl down to 9,000 bytes of keys and values in each database."""
+    s = state(spark, sf, keep=("value_bytes",))
+    return maintenance.evict(s, "volatile-ttl", max_bytes=9_000).select("db", key_hex(F.col("key")).alias("key_hex"))
+
+
+@query(f"""SELECT from_node, count(s.generation) AS hits FROM ({LOOKUPS}) l JOIN ({LIVE}) s ON l.db = s.db AND l.key = s.key GROUP BY from_node""")
+def kv_bloom_prefilter(spark, sf):
+    """Lookups that a Bloom filter of the live keys lets through, then looked up: no hit is lost."""
+    held = state(spark, sf, keep=()).select("db", "key")
+    asked = bloom.passing(lookups(spark, sf), ["db", "key"], bloom.build(held, ["db", "key"]))
+    return reads.probe(asked, held.withColumn("hit", F.lit(1))).where("hit = 1").groupBy("from_node").agg(F.count("*").alias("hits"))
+
+
+@query(f"WITH n AS (SELECT count(*) AS keys FROM ({LIVE})) SELECT keys, TRUE AS fill_as_expected FROM n")
+def kv_bloom_fill(spark, sf):
+    """The fill ratio of a filter of 2**20 bits over the live keys, against 1 - exp(-hashes * keys / bits)."""
+    held, bits = state(spark, sf, keep=()).select("db", "key"), 1 << 20
+    fill = bloom.fill_ratio(bloom.build(held, ["db", "key"], bits), bits).withColumn("keys", held.agg(F.count("*")).scalar())
+    want = 1 - F.exp(-bloom.HASHES * F.col("keys") / bits)
+    return fill.select("keys", (F.abs(F.col("fill") - want) <= 0.02 * want + 1e-5).alias("fill_as_expected"))
 
 
-@query(f"""WITH p AS (SELECT db, key, generation, row_number() OVER (PARTITION BY db, key ORDER BY generation, entry_id) AS n FROM ({CHANGES}) WHERE kind = 'PUT'),
-  r AS (SELECT db, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY db ORDER BY generation, n) AS seen, n FROM p)
-  SELECT db, count(*) FILTER (n = 1 AND seen > 40) AS refused FROM r GROUP BY db""")
+# A db's changes in order, folded over the keys it holds: a PUT of another key is refused at 40, a DELETE frees a place.
+@query(f"""WITH c AS (SELECT db, lower(hex(key)) AS k, generation AS g, kind = 'PUT' AS put, row_number() OVER (PARTITION BY db, key, generation ORDER BY entry_id) AS n FROM ({CHANGES})),
+  l AS (SELECT db, list({{'k': k, 'put': put, 'held': []::VARCHAR[], 'refused': 0::BIGINT}} ORDER BY g, k) AS steps FROM c WHERE n = 1 GROUP BY db)
+  SELECT db, list_reduce(list_prepend({{'k': '', 'put': FALSE, 'held': []::VARCHAR[], 'refused': 0::BIGINT}}, steps), lambda s, x: {{'k': '', 'put': FALSE,
+    'held': CASE WHEN NOT x.put THEN list_filter(s.held, lambda h: h <> x.k) WHEN list_contains(s.held, x.k) OR len(s.held) >= 40 THEN s.held ELSE list_append(s.held, x.k) END,
+    'refused': s.refused + CASE WHEN x.put AND NOT list_contains(s.held, x.k) AND len(s.held) >= 40 THEN 1 ELSE 0 END}}).refused AS refused FROM l""")
 def kv_capacity(spark, sf):
     rows = log(spark, sf).select("entry_id", "db", "key", "generation", "kind")
     return maintenance.over_capacity(rows, 40).groupBy("db").agg(F.count_if("oom").alias("refused"))
@@ -276,15 +327,21 @@ def kv_compaction_candidates(spark, sf):
     return maintenance.fragmented(table(spark, sf, "wblock_meta").distinct(), ["db", "file_id", "wblock_id"])
 
 
-@query("SELECT db, file_id, count(*) AS blocks FROM (SELECT DISTINCT * FROM wblock_meta) GROUP BY db, file_id HAVING max(coalesce(live_records, 1)) <= 0")
+@query("""WITH b AS (SELECT db, file_id, CASE WHEN file_id % 2 = 0 AND live_records > 0 THEN 0 ELSE live_records END AS live_records FROM (SELECT DISTINCT * FROM wblock_meta))
+  SELECT db, file_id, count(*) AS blocks FROM b GROUP BY db, file_id HAVING max(coalesce(live_records, 1)) <= 0""")
 def kv_unlink_files(spark, sf):
-    return maintenance.unlinkable(table(spark, sf, "wblock_meta").distinct(), ["db", "file_id"])
+    """Files without a live record once every second one has been emptied; one with a block of unknown count stays."""
+    emptied = F.when(F.col("file_id") % 2 == 0, F.least(F.col("live_records"), F.lit(0))).otherwise(F.col("live_records"))
+    emptied = F.when(F.col("live_records").isNotNull(), emptied)
+    return maintenance.unlinkable(table(spark, sf, "wblock_meta").distinct().withColumn("live_records", emptied), ["db", "file_id"])
 
 
-@query()
+@query(f"""SELECT db, CAST(('0x' || substr(h, 1, 1)) AS INTEGER) AS shard, least(count(*), 2) AS n, least(count(*), 2) AS keys, CAST(0 AS BIGINT) AS strangers
+  FROM (SELECT db, md5(key) AS h FROM ({LIVE})) GROUP BY db, CAST(('0x' || substr(h, 1, 1)) AS INTEGER)""")
 def kv_eviction_sample(spark, sf):
+    """Two candidates of each database and shard; which ones hangs on the seed."""
     shard = F.conv(F.substring(F.md5("key"), 1, 1), 16, 10).cast("int")
-    return maintenance.candidates(state(spark, sf, keep=()), shard, 1, 5).select("db", "shard", key_hex(F.col("key")).alias("key_hex"), "generation")
+    return _members(maintenance.candidates(state(spark, sf, keep=()), shard, 2, 5), spark, sf, "db", "shard")
 
 
 @query(f"SELECT db, lower(hex(key)) AS key_hex, generation FROM ({STATE})")

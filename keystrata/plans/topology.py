@@ -137,3 +137,26 @@ def kv_replicate(spark, sf):
     """Log shipping: the replicated writes that a second sink of the log would get."""
     m = table(spark, sf, "peer_messages").where(F.col("op").isin(65, 66))
     return m.select("msg_id", key_hex(effective_key(F.col("key"), F.col("key_len"))).alias("key_hex")).where("key_hex IS NOT NULL")
+
+
+_LATENCY = f"""SELECT CASE WHEN op = 49 THEN 'get' WHEN op IN (50, 65) THEN 'set' WHEN op IN (51, 66) THEN 'del' END AS kind, {_US} AS us FROM peer_messages WHERE op IN (49, 50, 65, 51, 66)"""
+_BOUNDS = f"""SELECT kind, max(n) AS ops, {", ".join(f"1::BIGINT << (min(bucket) FILTER (run >= ceil(ops * {p})) + 1) AS {name}" for name, p in (("p50", 0.5), ("p99", 0.99), ("p999", 0.999)))} FROM (
+  SELECT *, sum(n) OVER (PARTITION BY kind ORDER BY bucket) AS run, sum(n) OVER (PARTITION BY kind) AS ops FROM (
+    SELECT kind, CAST(least(floor(log2(greatest(us, 1)::DOUBLE)), 23) AS INTEGER) AS bucket, count(*) AS n FROM ({_LATENCY}) WHERE us IS NOT NULL GROUP BY ALL)) GROUP BY kind"""
+_LAGS = """SELECT to_node, count(*) AS sent, count(*) FILTER (epoch_us(recv_ts) - epoch_us(sent_ts) < 1000000) AS acked, count(*) FILTER (sent_ts IS NULL) AS failed FROM peer_messages WHERE op IN (65, 66) GROUP BY to_node"""
+
+
+@query(f"""WITH r AS ({_LAGS}), l AS (SELECT kind, count(us) AS n, max(us) AS most FROM ({_LATENCY}) GROUP BY kind), b AS ({_BOUNDS})
+  SELECT 'server' AS section, unnest(['redis_version', 'redis_mode']) AS name, unnest(['7.0.0', 'cluster']) AS value
+  UNION ALL SELECT 'replication', unnest(['role', 'repl_entries_sent', 'repl_errors']), unnest(['master', CAST(sum(sent) AS BIGINT)::VARCHAR, CAST(sum(failed) AS BIGINT)::VARCHAR]) FROM r
+  UNION ALL SELECT 'replication', 'replica_' || to_node || '_' || unnest(['sent', 'acked', 'failed', 'lag', 'diverged']), unnest([sent, acked, failed, greatest(sent - acked, 0), CASE WHEN failed > 0 THEN 1 ELSE 0 END])::VARCHAR FROM r
+  UNION ALL SELECT 'latencystats', 'latency_percentiles_usec_' || kind, 'p50=' || p50 || ',p99=' || p99 || ',p999=' || p999 || ',max=' || greatest(most, 0) FROM l JOIN b USING (kind)
+  UNION ALL SELECT 'latencystats', kind || '_ops', n::VARCHAR FROM l""")
+def kv_info_sections(spark, sf):
+    """INFO's Server, Replication and Latencystats; `kv_info` has Memory, Wal and Keyspace."""
+    m = table(spark, sf, "peer_messages").select("op", "to_node", "sent_ts", "recv_ts")
+    us = F.unix_micros(F.col("recv_ts").cast("timestamp")) - F.unix_micros(F.col("sent_ts").cast("timestamp"))
+    counts = m.where(F.col("op").isin(65, 66)).groupBy(F.col("to_node").alias("node_id")).agg(F.count("*").alias("sent"), F.count_if(us < 1_000_000).alias("acked"), F.count_if(F.col("sent_ts").isNull()).alias("failed"))
+    lags = counts.join(cluster.replica_lag(counts).withColumnRenamed("node_id", "of"), F.col("node_id") == F.col("of")).drop("of")
+    kind = F.when(F.col("op") == 49, "get").when(F.col("op").isin(50, 65), "set").when(F.col("op").isin(51, 66), "del")
+    return stats.info({"server": stats.server("cluster", spark)}).unionByName(stats.replication(lags)).unionByName(stats.latencystats(m, kind, us))

@@ -1,7 +1,7 @@
 import pytest
 
 from keystrata.operators.folds import exact_fold
-from keystrata.operators.interpreter import Store, replay
+from keystrata.operators.interpreter import Node, Store, replay, slot_of
 from keystrata.sources.resp import Error, Malformed, Parser, Status, dump, load
 
 NOW = 1_700_000_000_000_000
@@ -85,6 +85,31 @@ def test_capacity():
     assert str(run("SET c 1", store=s)).startswith("OOM")
 
 
+def test_capacity_in_bytes():
+    s = Store(max_bytes=10)
+    assert run("SET a 12345", "SET b 12", "SET a 123456", store=s) == OK and s.held[0] == 10
+    assert str(run("SET c 1", store=s)).startswith("OOM") and str(run("APPEND b 3", store=s)).startswith("OOM")
+    assert run("DEL a", "SET c 1", "FLUSHDB", "SET a 123456789", store=s) == OK and s.held[0] == 10
+
+
+def test_cluster_answers():
+    a, b = slot_of(b"a"), slot_of(b"b")
+    at = lambda **how: Node(1, ((0, a - 1, 1, ()), (a, a, 2, (1,)), (a + 1, 16383, 1, ())), ((1, "10.0.0.1:7000"), (2, "10.0.0.2:7001")), **how)
+    moved = f"MOVED {a} 10.0.0.2:7001"
+    s = Store(node=at())
+    assert str(run("GET a", store=s)) == str(run("SET a 1", store=s)) == str(run("MSET a 1 b 2", store=s)) == moved
+    assert run("SET b 1", store=s) == OK and run("MGET b {b}x", store=s) == [b"1", None]
+    assert str(run("MGET a b", store=s)).startswith("CROSSSLOT") and str(run("MSET b 1 a 2", store=s)).startswith("CROSSSLOT")
+    assert str(run("READONLY", "GET a", store=s)) == moved  # no reads from replicas
+    s = Store(node=at(replica_read=True))
+    assert str(run("GET a", store=s)) == moved and run("READONLY", "GET a", store=s) is None and str(run("SET a 1", store=s)) == moved and str(run("READWRITE", "GET a", store=s)) == moved
+    assert run("CLUSTER MYID", store=s) == b"1".rjust(40, b"0") and run("CLUSTER MYID") == b"0" * 40
+    assert b"cluster_slots_ok:16384" in run("CLUSTER INFO", store=s) and run("CLUSTER NODES") == b"standalone mode"
+    assert run("CLUSTER SLOTS", store=s)[1][:2] == [a, a] and b"myself,master - 0 0 0 connected 0-" in run("CLUSTER NODES", store=s)
+    assert str(run("GET b", store=Store(node=Node(1, (), ())))).startswith("CLUSTERDOWN") and b != a
+    assert b"redis_mode:cluster" in run("INFO", store=s) and b"used_memory_human:0B" in run("INFO")
+
+
 COMMANDS = "seq long, db int, conn_id long, cmd string, args array<binary>, ts timestamp_ntz"
 
 
@@ -103,6 +128,13 @@ def test_replay_by_key_by_database_and_whole(spark):
         if 12 in got:
             assert got[12].int == 1
     assert replay(spark.createDataFrame([], COMMANDS)).count() == 0
+    # what a connection has selected stays; a bad SELECT changes nothing; subscriptions are a stream beside the databases
+    sel = [(1, 3, 5, "SET", b("a", "3"), None), (2, 3, 5, "SELECT", b("7"), None), (3, 3, 5, "SET", b("a", "7"), None), (4, 3, 5, "SELECT", b("x"), None), (5, 3, 5, "GET", b("a"), None), (6, 3, 6, "GET", b("a"), None),
+        (7, 3, 5, "SELECT", b(), None), (8, 3, 5, "SUBSCRIBE", b("c"), None), (9, 1, 6, "PUBLISH", b("c", "m"), None), (10, 3, 5, "SELECT", b("-1"), None), (11, 3, 5, "DBSIZE", b(), None)]
+    for more in ([], [(12, 0, 8, "INFO", b(), None)]):
+        got = {r.seq: r for r in replay(spark.createDataFrame(sel + more, COMMANDS).repartition(3)).collect()}
+        assert got[5].bulk == b"7" and got[6].bulk == b"3" and got[9].int == 1 and got[11].int == 1
+        assert [got[i].kind for i in (2, 4, 7, 10)] == ["simple", "error", "error", "error"]
 
 
 def test_replay_under_a_cap_takes_a_database_as_one_stream(spark):

@@ -1,4 +1,5 @@
 import os
+import re
 
 import pytest
 
@@ -37,3 +38,21 @@ def test_scans_read_what_they_need(spark):
     assert "ReadSchema: struct<op:int>" in p
     p = plan(q["kv_lww_state"](spark, SF))
     assert "IsNotNull(key)" in p and "IsNotNull(generation)" in p and "arrived_at" not in p
+    for name in ("kv_keys_prefix", "kv_keys_glob", "kv_exists", "kv_type", "kv_ttl_cmd", "kv_del", "kv_hit_ratio", "kv_scan_page", "kv_index_stats", "kv_expiry_sweep", "kv_rename"):
+        for schema in re.findall(r"ReadSchema: struct<([^\n]*)>", plan(q[name](spark, SF))):
+            assert "entry_type" not in schema or not re.search(r"\bvalue:", schema), (name, schema)
+    p = plan(q["kv_keys_prefix"](spark, SF))
+    assert "GreaterThanOrEqual(key" in p and "LessThan(key" in p
+
+
+def test_asked_keys_are_joined_before_the_fold(spark):
+    for name in ("kv_get", "kv_exists", "kv_ttl_cmd"):
+        p = plan(queries()[name](spark, SF))
+        fold = next(i for i, line in enumerate(p.split("\n")) if "max_by" in line)
+        assert any("LeftSemi" in line for line in p.split("\n")[fold:]), name
+
+
+def test_counters_shuffle_the_rows_once(spark):
+    for name in ("kv_incr_fold", "kv_health_streak"):
+        p = plan(queries()[name](spark, SF))
+        assert p.count("Exchange") == 1 and p.count("Scan parquet") == 1, name

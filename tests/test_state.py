@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keystrata.operators import changefeed, incremental, maintenance, reads, versions
+from keystrata.operators import bloom, changefeed, incremental, maintenance, reads, versions
 from keystrata.operators import state as st
 
 LOG = "entry_id long, db int, key binary, op string, entry_type int, value binary, ttl_secs long, ts timestamp_ntz, generation long"
@@ -189,6 +189,17 @@ def test_eviction(spark, policy):
     if order:
         assert got == {(r[0], r[1]) for r in sorted(may, key=order)[:250]}
     assert maintenance.evict(df.where("false"), policy, 5).count() == 0
+    size = F.octet_length("key") * 100
+    got = {(r.db, bytes(r.key)) for r in maintenance.evict(df, policy, max_bytes=60_000, size=size).collect()}
+    if order:
+        held, want = sum(len(r[1]) * 100 for r in rows if r[0] == 1), set()
+        for r in sorted(may, key=order):
+            if held > 60_000:
+                want.add((r[0], r[1]))
+                held -= len(r[1]) * 100
+        assert got == want
+        both = {(r.db, bytes(r.key)) for r in maintenance.evict(df, policy, 50, max_bytes=100_000, size=size).collect()}
+        assert both == {(r[0], r[1]) for r in sorted(may, key=order)[:250]}
 
 
 def test_capacity_against_brute_force(spark):
@@ -211,6 +222,53 @@ def test_capacity_against_brute_force(spark):
     assert [g for (db, g), oom in want.items() if db == 0 and oom] == [3, 5, 8]
 
 
+def test_capacity_in_bytes(spark):
+    rows = [(0, 0, b"a", 1, "PUT", 5), (1, 0, b"b", 2, "PUT", 3), (2, 0, b"b", 3, "PUT", 4), (3, 0, b"a", 4, "PUT", 4), (4, 0, b"b", 5, "PUT", 4), (5, 0, b"a", 6, "DELETE", 0), (6, 0, b"c", 7, "PUT", 4), (7, 0, b"d", 8, "PUT", 0)]
+    df = spark.createDataFrame(rows, "entry_id long, db int, key binary, generation long, kind string, value_bytes long")
+    got = {r.generation: r.oom for r in maintenance.over_capacity(df, None, max_bytes=10).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: False, 5: False, 7: False, 8: True}  # 6, 10, 11, 9, 10, 5 after the delete, 10, 11
+
+
+def test_bloom_filters(spark):
+    keys = spark.createDataFrame([(d, f"k{i}".encode()) for d in (0, 1, None) for i in range(400)], "db int, key binary")
+    f = bloom.build(keys, ["db", "key"], 1 << 16)
+    assert bloom.passing(keys, ["db", "key"], f, 1 << 16).count() == 1_200
+    others = spark.range(20_000).select(F.lit(0).alias("db"), F.concat(F.lit("x"), F.col("id").cast("string")).cast("binary").alias("key"), F.lit("y").alias("bits"))
+    assert bloom.passing(others, ["db", "key"], f, 1 << 16).count() < 40
+    assert abs(bloom.fill_ratio(f, 1 << 16).first().fill - (1 - 2.718281828 ** (-4 * 1_200 / 65_536))) < 0.002
+    two = bloom.merge(bloom.build(keys.where("db = 0"), ["db", "key"], 1 << 16), bloom.build(keys.where("db = 1"), ["db", "key"], 1 << 16))
+    assert bloom.passing(keys, ["db", "key"], two, 1 << 16).where("db IS NOT NULL").count() == 800
+    none = bloom.build(keys.where("false"), ["db", "key"])
+    assert bloom.passing(keys, ["db", "key"], none).count() == 0 and bloom.fill_ratio(none).first().fill == 0
+
+
+@pytest.mark.parametrize("few", [200_000, 3])
+def test_look_up_folds_the_asked_keys(spark, monkeypatch, few):
+    monkeypatch.setattr(reads, "SMALL_KEYS", few)
+    rows = random_log(random.Random(3))
+    df = st.changes(spark.createDataFrame(rows, LOG))
+    asked = spark.createDataFrame([(i, *k) for i, k in enumerate([(0, b"hot"), (0, b"k1"), (1, b"k1"), (0, b"nope"), (0, b"k2"), (0, b"hot"), (None, b"k1"), (1, None), (1, b"k7")])], "pos int, db int, key binary")
+    alive = {(r.db, bytes(r.key)): (r.generation, r.value) for r in st.live(df).collect()}
+    got = {r.pos: (r.generation, r.value) for r in reads.look_up(asked, df, None, ("value",)).collect()}
+    assert got == {r.pos: (alive.get((r.db, bytes(r.key)), (None, None)) if r.db is not None and r.key is not None else (None, None)) for r in asked.collect()}
+
+
+def test_pages_by_key(spark):
+    names = [f"k{i:02d}".encode() for i in range(23)] + [b"k\xff", b"", b"\xff\xff", b"j"]
+    keys = spark.createDataFrame([(0, n) for n in names] + [(1, b"k5")], "db int, key binary").repartition(3)
+    for pattern, want in (("k*", [n for n in sorted(names) if n.startswith(b"k")]), (None, sorted(names)), ("k1?", [n for n in sorted(names) if n[:2] == b"k1"]), ("j", [b"j"]), ("zz*", [])):
+        pages, after = [], None
+        while True:
+            page = reads.scan_after(keys, 0, after, 10, pattern).collect()
+            pages += sorted(bytes(r.key) for r in page)
+            after = page and page[0].next_after
+            if not after:
+                break
+        assert pages == want, pattern
+        if pattern:
+            assert sorted(bytes(r.key) for r in reads.keys(keys.where("db = 0"), pattern).collect()) == want
+
+
 def test_ranges_of_bytes(spark):
     def one(col):
         return bytes(spark.range(1).select(col).first()[0])
