@@ -47,3 +47,27 @@ def passing(rows: DataFrame, key: Sequence[str], filter_: DataFrame, bits: int =
         byte = F.ascii(F.decode(F.substring(F.get(whole, F.floor(p / CHUNK).cast("int")), F.shiftright(at, 3) + 1, F.lit(1)), "ISO-8859-1"))
         test = test & (F.call_function("getbit", F.coalesce(byte, F.lit(0)).cast("long"), at % 8) == 1)
     return rows.where(test)
+
+
+#: Keys that are broadcast themselves rather than as a filter.
+FEW = 200_000
+#: Rows of a table from which on it pays to look for the touched ones before a join.
+LARGE = 5_000_000
+
+
+def large(held: DataFrame) -> bool:
+    """Whether a stored table has more than LARGE rows; they are counted from the files' footers."""
+    return held.count() > LARGE
+
+
+def touched(held: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The rows of `held` whose key is among `keys`, and perhaps a few others: what a join with `keys` needs of a large table.
+
+    `held` is scanned but not shuffled, whatever its size: up to FEW keys are broadcast, more go as a filter of fixed size. `keys` should be cheap to read, as it is
+    read twice.
+    """
+    one = keys.select(*key)
+    if one.limit(FEW + 1).count() <= FEW:
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+        return held.join(F.broadcast(one.toDF(*[f"_{c}" for c in key])), same, "left_semi")
+    return passing(held, key, build(one, key))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keystrata.operators import bloom
 from keystrata.operators.versions import Versions
 
 VECTOR_BROADCAST = 8_000  # bitmaps of 4 KB: 32 MB
@@ -52,9 +53,11 @@ class VectorTable:
         at = [f"{self.path}/{x}" for x in manifest.get(kind, [])]
         return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
 
-    def _index(self, manifest: dict) -> DataFrame:
-        """The newest entry of each key; `file` is null for a deleted key."""
+    def _index(self, manifest: dict, keys: DataFrame | None = None) -> DataFrame:
+        """The newest entry of each key, or of the keys of a batch; `file` is null for a deleted key."""
         held = self._read(manifest, "index", self.INDEX)
+        if keys is not None:
+            held = bloom.touched(held, keys, ["db", "key"])
         if len(manifest.get("index", [])) < 2:
             return held
         return held.groupBy("db", "key").agg(F.max(F.struct("generation", "file", "pos")).alias("m")).select("db", "key", "m.*")
@@ -64,15 +67,26 @@ class VectorTable:
 
         Rows come in any order and any number of times; those with a null key or generation or another kind are left out, other
         columns are not read, an empty batch is an empty version. The batch is first reduced to each key's highest generation, before any
-        shuffle and again after it, so a hot key costs one row for each task.
+        shuffle and again after it, so a hot key costs one row for each task. A large index is scanned, but only its entries of the batch's keys go on.
         """
         manifest, number = self.versions.load(), self.versions.number() + 1
         tag = f"{number:09d}-{uuid.uuid4().hex[:8]}"
         cols = [f.name for f in self.payload.fields]
         batch = batch.where("key IS NOT NULL AND generation IS NOT NULL AND kind IN ('PUT', 'DELETE')")
-        new = batch.groupBy(F.col("db").cast("int").alias("db"), "key").agg(F.max(F.struct(F.col("generation").cast("long").alias("generation"), "kind", *cols)).alias("c"))
-        new = new.select("db", "key", "c.*")
-        old = self._index(manifest).select(F.col("db").alias("odb"), F.col("key").alias("okey"), F.col("generation").alias("ogen"), F.col("file").alias("ofile"), F.col("pos").alias("opos"))
+        new = batch.withColumn("db", F.col("db").cast("int")).withColumn("generation", F.col("generation").cast("long")).groupBy("db", "key")
+        if cols:
+            new = new.agg(F.max(F.struct("generation", "kind", *cols)).alias("c")).select("db", "key", "c.*")
+        else:  # two numbers for each key, which a hash aggregate takes
+            new = new.agg(*[F.max(F.when(F.col("kind") == k, F.col("generation"))).alias(k) for k in ("PUT", "DELETE")])
+            put = F.col("DELETE").isNull() | (F.col("PUT") >= F.col("DELETE"))
+            new = new.select("db", "key", F.greatest("PUT", "DELETE").alias("generation"), F.when(put, "PUT").otherwise("DELETE").alias("kind"))
+        if manifest.get("index") and bloom.large(self._read(manifest, "index", self.INDEX)):
+            new.write.parquet(f"{self.path}/batch-{tag}")
+            new = self.spark.read.schema(new.schema).parquet(f"{self.path}/batch-{tag}")
+            index = self._index(manifest, new)
+        else:
+            index = self._index(manifest)
+        old = index.select(F.col("db").alias("odb"), F.col("key").alias("okey"), F.col("generation").alias("ogen"), F.col("file").alias("ofile"), F.col("pos").alias("opos"))
         won = new.join(old, F.col("db").eqNullSafe(F.col("odb")) & (F.col("key") == F.col("okey")), "left").where("ogen IS NULL OR generation > ogen")
         won.drop("odb", "okey").write.parquet(f"{self.path}/won-{tag}")
         won = self.spark.read.parquet(f"{self.path}/won-{tag}")
@@ -106,12 +120,11 @@ class VectorTable:
         rows = rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("pos"))
         rows = rows.withColumn("bucket", F.expr("bitmap_bucket_number(pos + 1)"))
         v = self.vectors(version)
-        v = F.broadcast(v) if v.count() <= VECTOR_BROADCAST else v
+        v = F.broadcast(v) if v.limit(VECTOR_BROADCAST + 1).count() <= VECTOR_BROADCAST else v
         bit = (F.col("pos") % BUCKET_BITS).cast("int")
-        byte = F.conv(F.hex(F.expr(f"substring(bits, cast(pos % {BUCKET_BITS} as int) div 8 + 1, 1)")), 16, 10).cast("int")
-        is_set = F.expr("shiftright(byte, bit % 8) & 1") == 1
-        joined = rows.join(v, ["file", "bucket"], "left").withColumn("bit", bit).withColumn("byte", byte)
-        return joined.where(F.col("bits").isNull() | ~is_set).select(*names)
+        byte = F.ascii(F.decode(F.substring(F.col("bits"), F.shiftright(bit, 3) + 1, F.lit(1)), "ISO-8859-1"))
+        is_set = F.call_function("getbit", byte.cast("long"), bit % 8) == 1
+        return rows.join(v, ["file", "bucket"], "left").where(F.col("bits").isNull() | ~is_set).select(*names)
 
     def compact(self) -> int:
         """Rewrite the live rows into new files without vectors; generations of live and deleted keys stay as they are."""
@@ -123,3 +136,7 @@ class VectorTable:
         placed.unionByName(self._index(manifest).where("file IS NULL")).write.parquet(f"{self.path}/index-{tag}")
         self.versions.commit(number, {"data": [f"data-{tag}"], "index": [f"index-{tag}"], "vectors": []})
         return number
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Delete what the last `keep` versions don't name: leftovers of batches, failed ones too, and files before a rewrite."""
+        return self.versions.remove(self.path, keep)

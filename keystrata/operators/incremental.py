@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrata.operators import bloom
 from keystrata.operators.versions import Versions
+from keystrata.session import materialize
 
 
 def row_hash(*columns: Column) -> Column:
@@ -46,43 +48,45 @@ class IncrementalState:
         s = self.segments()
         return self.spark.read.parquet(*[f"{self.path}/{x}" for x in s]) if s else None
 
-    def _known(self) -> DataFrame | None:
-        held = self.rows()
-        if held is None:
-            return None
-        if self.history:
-            return held.select("key_hash", "content_hash")
-        return held.groupBy("key_hash").agg(F.max_by("content_hash", "run_no").alias("content_hash"))
+    def _known(self, held: DataFrame, batch: DataFrame | None) -> DataFrame:
+        """Hashes of the state: all, or of the keys of a batch."""
+        held = held.select("key_hash", "content_hash", *([] if self.history else ["run_no"]))
+        held = held if batch is None else bloom.touched(held, batch, ["key_hash"])
+        return held if self.history else held.groupBy("key_hash").agg(F.max_by("content_hash", "run_no").alias("content_hash"))
 
-    def select_new(self, rows: DataFrame, key: Column, content: Column, order: Sequence[Column]) -> DataFrame:
-        """Of `rows` those that are new or changed, with key_hash and content_hash.
+    def select_new(self, rows: DataFrame, key: Column, content: Column, order: Sequence[Column], payload: Sequence[str] | None = None) -> DataFrame:
+        """Of `rows` those that are new or changed, with key_hash and content_hash and the columns `payload` (all by default).
 
         `key` and `content` are hashes (`row_hash`). Of rows alike in both (without history: of rows with the same key) one is
         taken: with history the first in `order`, else the last, which is the key's content then. Ties in `order` are
-        settled by all other columns, so a repeated run chooses alike. Null hashes are not allowed; `row_hash` gives none.
+        settled by the columns taken, so a repeated run chooses alike. Null hashes are not allowed; `row_hash` gives none. Where the state is large,
+        what is left of `rows` after this choice is written to the shared folder, and only the state's hashes of those keys are joined with it.
         """
-        names = rows.columns
+        names = payload or rows.columns
         hashed = rows.select(key.alias("key_hash"), content.alias("content_hash"), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*names).alias("row")).alias("at"))
         if self.history:
             one = hashed.groupBy("key_hash", "content_hash").agg(F.min("at").alias("at"))
-            known = self._known()
-            fresh = one if known is None else one.join(known, ["key_hash", "content_hash"], "left_anti")
         else:
             last = hashed.groupBy("key_hash").agg(F.max(F.struct("at", "content_hash")).alias("last"))
             one = last.select("key_hash", "last.content_hash", "last.at")
-            known = self._known()
-            fresh = one if known is None else one.join(known, ["key_hash", "content_hash"], "left_anti")
-        return fresh.select("key_hash", "content_hash", "at.row.*")
+        one = one.select("key_hash", "content_hash", "at.row.*")
+        held = self.rows()
+        if held is None:
+            return one
+        if bloom.large(held):
+            one = materialize(one, "batch")
+            return one.join(self._known(held, one), ["key_hash", "content_hash"], "left_anti")
+        return one.join(self._known(held, None), ["key_hash", "content_hash"], "left_anti")
 
-    def run(self, rows: DataFrame, key: Column, content: Column, order: Sequence[Column], *, note: dict | None = None, before_commit=None) -> DataFrame:
+    def run(self, rows: DataFrame, key: Column, content: Column, order: Sequence[Column], *, payload: Sequence[str] | None = None, note: dict | None = None, before_commit=None) -> DataFrame:
         """Take what is new in `rows`, commit it as the next version and return it (from the written segment).
 
-        `note` is kept in the manifest. `before_commit` is called between writing and committing; if it raises, the state is as
+        `payload` names the columns of `rows` that are kept, all by default. `note` is kept in the manifest. `before_commit` is called between writing and committing; if it raises, the state is as
         before. The columns key_hash, content_hash and run_no of `rows`, if any, are left out.
         """
         manifest, number = self.versions.load(), self.versions.number() + 1
-        names = [c for c in rows.columns if c not in ("key_hash", "content_hash", "run_no")]
-        fresh = self.select_new(rows.select(*names), key, content, order).withColumn("run_no", F.lit(number).cast("long"))
+        names = [c for c in payload or rows.columns if c not in ("key_hash", "content_hash", "run_no")]
+        fresh = self.select_new(rows, key, content, order, names).withColumn("run_no", F.lit(number).cast("long"))
         segment = f"segment-{number:09d}-{uuid.uuid4().hex[:8]}"
         fresh.write.parquet(f"{self.path}/{segment}")
         if before_commit:
@@ -91,6 +95,21 @@ class IncrementalState:
         return self.spark.read.parquet(f"{self.path}/{segment}")
 
 
+    def compact(self) -> int:
+        """Write all segments as one, which costs a scan and no shuffle; the rows and their run numbers stay as they are. Returns the version."""
+        manifest, number = self.versions.load(), self.versions.number() + 1
+        if len(self.segments()) < 2:
+            return number - 1
+        segment = f"segment-{number:09d}-{uuid.uuid4().hex[:8]}"
+        self.rows().write.parquet(f"{self.path}/{segment}")
+        self.versions.commit(number, manifest | {"segments": [segment]})
+        return number
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Delete segments that the last `keep` versions don't name: of failed runs, and those that were compacted."""
+        return self.versions.remove(self.path, keep)
+
+
 def read_by_runs(rows: DataFrame, shard: Column, at: Column, runs: DataFrame, *, broadcast_rows: int = 500_000) -> DataFrame:
     """`rows` with `run_id` and `upto`: the run of their shard with the smallest `upto` not before `at`; others drop out.
 

@@ -1,8 +1,13 @@
-"""A folder whose content is named by numbered manifests; a new version appears by one rename."""
+"""A folder whose content is named by numbered manifests; a new version appears by one rename.
+
+The rename must fail if the target exists, as it does on HDFS and local disks. Object stores whose rename is a copy don't promise that: there the folder of the manifests
+belongs on a file system that does, while the data may lie anywhere.
+"""
 
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import SparkSession
 
@@ -40,6 +45,28 @@ class Versions:
         finally:
             stream.close()
 
+    def unnamed(self, folder: str, keep: int) -> list[str]:
+        """Names of the folders below `folder` that no manifest of the last `keep` versions names, but for ones that a running writer may be about
+        to commit: those whose number is above the last version.
+        """
+        last = self.number()
+        named = {x for n in range(max(1, last - keep + 1), last + 1) for v in self.load(n).values() if isinstance(v, list) for x in v}
+        out = []
+        jvm = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        for s in self.fs.listStatus(jvm) if self.fs.exists(jvm) else []:
+            name = s.getPath().getName()
+            m = re.fullmatch(r"[a-z]+-(\d{9})-[0-9a-f]{8}", name)
+            if m and int(m[1]) <= last and name not in named:
+                out.append(name)
+        return sorted(out)
+
+    def remove(self, folder: str, keep: int) -> list[str]:
+        """Delete what `unnamed` gives, and its names; versions before the last `keep` can't be read any more."""
+        gone = self.unnamed(folder, keep)
+        for name in gone:
+            self.fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), True)
+        return gone
+
     def commit(self, number: int, manifest: dict) -> None:
         """Make `manifest` version `number`. Fails with VersionConflict if that version exists."""
         jvm = self.spark.sparkContext._jvm

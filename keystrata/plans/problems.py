@@ -23,15 +23,23 @@ def p2_found(spark: SparkSession, sf: str, waves: int = WAVES) -> DataFrame:
     runs = committed_runs(table(spark, sf, "ingest_runs"))
     state = IncrementalState(spark, work_dir(spark, "p2"), history=True)
     log = changes(table(spark, sf, "kv_log")).select("entry_id", "db", "key", "generation", "shard", "arrived_at")
-    cuts = runs.agg(F.percentile_approx(F.unix_micros(F.col("upto").cast("timestamp")), [i / waves for i in range(1, waves)])).first()[0] or []
+    us = F.unix_micros(F.col("upto").cast("timestamp"))
+    cuts = runs.agg(F.percentile_approx(us, [i / waves for i in range(1, waves)])).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
+    moment = lambda t: F.timestamp_micros(F.lit(t)).cast("timestamp_ntz")
     for lo, hi in zip(edges, edges[1:]):
-        at = F.unix_micros(F.col("upto").cast("timestamp"))
-        seen = read_by_runs(log, F.col("shard"), F.col("arrived_at"), runs)
-        seen = seen.where((at > lo) if lo is not None else F.lit(True)).where((at <= hi) if hi is not None else F.lit(True))
+        wave, rows = runs.where("shard IS NOT NULL AND upto IS NOT NULL"), log
+        if hi is not None:
+            wave, rows = wave.where(us <= hi), rows.where(F.col("arrived_at") <= moment(hi))
+        if lo is not None:
+            # where each shard was read up to before; what arrived by then is not looked at again
+            before = wave.where(us <= lo).groupBy("shard").agg(F.max("upto").alias("upto"))
+            shards = wave.select("shard").distinct().join(before, "shard", "left").agg(F.count_if(F.col("upto").isNull()), F.min("upto")).first()
+            wave = wave.where(us > lo).unionByName(before.select(F.lit(None).cast(wave.schema["run_id"].dataType).alias("run_id"), "shard", "upto"))
+            rows = rows.where(F.col("arrived_at") > F.lit(shards[1])) if not shards[0] and shards[1] is not None else rows
+        seen = read_by_runs(rows, F.col("shard"), F.col("arrived_at"), wave).where("run_id IS NOT NULL")
         state.run(
-            seen.select("entry_id", "run_id", "upto", "db", "key", "generation"), row_hash(F.col("db"), F.hex("key")), row_hash(F.col("generation")),
-            [F.col("upto"), F.col("entry_id")], note={"upto": hi})
+            seen, row_hash(F.col("db"), F.hex("key")), row_hash(F.col("generation")), [F.col("upto"), F.col("entry_id")], payload=["entry_id", "run_id"], note={"upto": hi})
     return state.rows().select("run_id", "entry_id")
 
 

@@ -75,7 +75,10 @@ def path(tmp_path, name):
 
 
 @pytest.mark.parametrize("seed", [3, 4])
-def test_delete_vectors_against_brute_force(spark, tmp_path, seed):
+@pytest.mark.parametrize("large", [5_000_000, 0])
+def test_delete_vectors_against_brute_force(spark, tmp_path, seed, large, monkeypatch):
+    monkeypatch.setattr(bloom, "LARGE", large)
+    monkeypatch.setattr(bloom, "FEW", 200_000 if seed % 2 else 20)
     rng = random.Random(seed)
     rows = random_log(rng)
     want = {k: v[0][0] for k, v in brute(rows).items() if v[1] == "PUT"}
@@ -93,8 +96,11 @@ def test_delete_vectors_against_brute_force(spark, tmp_path, seed):
     table.apply(spark.createDataFrame([], "db int, key binary, generation long, kind string, value binary"))
     table.compact()
     assert state() == want and table.vectors().count() == 0
+    gone = table.vacuum(keep=100)
+    assert gone and all(n.startswith(("won-", "batch-")) for n in gone) and table.vacuum(keep=100) == []
     table.apply(changefeed.changes(spark.createDataFrame(rows[:100], LOG)))  # late rows after a rewrite
     assert state() == want and state(last) == want
+    assert any(n.startswith("data-") for n in table.vacuum()) and state() == want
 
 
 def test_late_put_does_not_revive(spark, tmp_path):
@@ -130,8 +136,10 @@ def test_versions_conflict(spark, tmp_path):
     assert v.load() == {"a": 1} and v.number() == 1
 
 
-@pytest.mark.parametrize("history", [True, False])
-def test_runs_take_each_change_once(spark, tmp_path, history):
+@pytest.mark.parametrize("history,large,few", [(True, 5_000_000, 200_000), (False, 5_000_000, 200_000), (True, 0, 2), (False, 0, 2), (False, 0, 200_000)])
+def test_runs_take_each_change_once(spark, tmp_path, history, large, few, monkeypatch):
+    monkeypatch.setattr(bloom, "LARGE", large)
+    monkeypatch.setattr(bloom, "FEW", few)
     rng = random.Random(5)
     state = incremental.IncrementalState(spark, path(tmp_path, "s"), history=history)
     seen, last, taken = set(), {}, []
@@ -155,6 +163,9 @@ def test_runs_take_each_change_once(spark, tmp_path, history):
         assert got == sorted(want)
         taken += got
     assert sorted(r.seq for r in state.rows().collect()) == sorted(taken)
+    state.compact()
+    assert len(state.segments()) == 1 and sorted(r.seq for r in state.rows().collect()) == sorted(taken)
+    assert len(state.vacuum()) == 5 and state.vacuum() == []  # four runs' segments and that of the failed one
     empty = spark.createDataFrame([], "seq long, k string, v string")
     assert state.run(empty, incremental.row_hash(F.col("k")), incremental.row_hash(F.col("v")), [F.col("seq")]).count() == 0
 
