@@ -95,6 +95,14 @@ def record(key: bytes, value: bytes, generation: int, ts_us: int, ttl: int = 0,
     return raw + b"\0" * (-len(raw) % PAD)
 
 
+def record_length(data: bytes, at: int) -> int:
+    """Bytes of the record that begins at `at`, without padding; 0 where none does."""
+    if at + RECORD_HEAD.size > len(data):
+        return 0
+    magic, k, v, *_ = RECORD_HEAD.unpack_from(data, at)
+    return RECORD_HEAD.size + k + v if magic == RECORD_MAGIC else 0
+
+
 def records(block: bytes, verify: bool = True) -> Iterator[dict]:
     """The records of a block, up to the first place without one; damaged ones are left out. Compressed values are unpacked."""
     at = 0
@@ -141,7 +149,7 @@ def _shard(path: Path) -> int:
 
 
 class WalSource(DataSource):
-    """`spark.read.format("keystrata_wal").load(dir)`: entries of all `wal_*.log` files below a folder that all executors see.
+    """`spark.read.format("keystrata_wal").load(dir)`: entries of all `wal_*.log` files below a POSIX folder that all executors see (`files.wal` reads any file system).
 
     One partition a file, as an entry can only be found from the start. Option `verify` stops a file at a wrong checksum.
     """

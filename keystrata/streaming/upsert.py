@@ -47,11 +47,11 @@ class ExpiringState(StatefulProcessor):
         best = self.held.get() if self.held.exists() else None
         out = None
         for pdf in rows:
-            for r in pdf.sort_values("generation").itertuples():
-                if best is None or r.generation > best[0]:
-                    until = int(r.until_ms) if r.until_ms == r.until_ms and r.until_ms else 0
-                    best = (int(r.generation), None if r.kind == "DELETE" else r.value, until)
-                    out = (key[0], best[0], best[1], "deleted" if r.kind == "DELETE" else "set")
+            r = pdf.loc[pdf["generation"].idxmax()] if len(pdf) else None  # the newest of a batch decides
+            if r is not None and (best is None or r.generation > best[0]):
+                until = int(r.until_ms) if r.until_ms == r.until_ms and r.until_ms else 0
+                best = (int(r.generation), None if r.kind == "DELETE" else r.value, until)
+                out = (key[0], best[0], best[1], "deleted" if r.kind == "DELETE" else "set")
         if out:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)

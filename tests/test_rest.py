@@ -150,6 +150,42 @@ def test_records_in_blocks(spark, tmp_path):
     assert list(binary.peer_messages(m + m[:7])) == [(50, 3, 9, b"key", b"value"), (80, 0, 0, b"", b"")]
 
 
+def test_images_over_any_sink(spark, tmp_path):
+    from keystrata.sources import files
+
+    entries = [(i % 3 if i % 2 else 0, i, "PUT" if i % 5 else "DELETE", f"k{i}".encode(), bytes([i % 256]) * (i % 90) if i % 5 else None, i + 1, None if i % 7 == 0 else i % 3) for i in range(600)]
+    df = spark.createDataFrame(entries, "shard int, entry_id long, kind string, key binary, value binary, generation long, ttl_secs long").repartition(3)
+    made = files.wal_images(df, 4_000)
+    assert made.count() > 8 and made.groupBy("path").count().where("count > 1").count() == 0
+    made.write.parquet(str(tmp_path / "logs"))  # what an object store would hold
+    got = files.wal(spark.read.parquet(str(tmp_path / "logs"))).collect()
+    assert sorted((r.shard, r.generation, bytes(r.key), r.entry_type, r.value and bytes(r.value)) for r in got) == sorted((s, g, k, 1 if kind == "PUT" else 2, v or None if kind == "DELETE" else v and bytes(v)) for s, _, kind, k, v, g, _ in entries)
+    assert files.write_files(made, "file://" + str(tmp_path / "posix")) == made.count()
+    assert files.wal(files.images(spark, str(tmp_path / "posix"), "wal_*.log")).count() == 600
+    with pytest.raises(ValueError):
+        files.write_files(made, "hdfs://name/folder")
+    assert files.wal_images(df.where("false")).count() == 0 and files.wal(made.where("false")).count() == 0
+
+    state = [(i % 2, f"k{i}".encode(), None if i % 9 == 0 else bytes([i % 251]) * (i * 97 % 5_000), i, 1_000 + i, 5, i % 9 == 0) for i in range(500)] + [(1, b"long", b"x" * 3_000_000, 9_999, None, None, False), (1, b"after", b"y", 10_000, 1, 0, False)]
+    blocks = files.block_images(spark.createDataFrame(state, "db int, key binary, value binary, generation long, ts_us long, ttl_secs long, deleted boolean"), blocks_per_file=2)
+    assert all((len(r.content) - binary.FILE_HEADER) % binary.BLOCK == 0 for r in blocks.collect())
+    got = files.records(blocks).collect()
+    assert {(bytes(r.key), None if r.deleted else bytes(r.value), r.generation, r.deleted) for r in got} == {(k, None if d else v or b"", g, d) for _, k, v, g, _, _, d in state}
+
+    commands = spark.createDataFrame([(c, i, "SET", [f"k{i}".encode(), b"\r\n"]) for c in (1, 2) for i in range(50)] + [(3, 0, None, None)], "conn_id long, seq long, cmd string, args array<binary>")
+    sent = files.resp_images(commands, file_bytes=600)
+    assert sent.count() > 6
+    files.write_files(sent, str(tmp_path / "resp"))
+    stream = files.resp(files.images(spark, str(tmp_path / "resp"), "*.resp", stream=True))
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.where("cmd = 'SET'").count() == 100 and {bytes(r.args[0]) for r in got.where("cmd = 'SET'").collect()} == {f"k{i}".encode() for i in range(50)}
+    raw = binary.peer_message(50, 3, 9, b"key", b"value") + binary.peer_message(80, 0, 0)
+    peers = files.peer(spark.createDataFrame([("a", raw + raw[:5]), ("b", b""), ("c", None)], "path string, content binary")).collect()
+    assert [(r.op, r.shard_id, r.ttl_secs, bytes(r.key), bytes(r.value)) for r in peers] == [(50, 3, 9, b"key", b"value"), (80, 0, 0, b"", b"")]
+
+
 def test_lz4_block():
     literal = b"\x0b\x00\x00\x00" + bytes([0x31]) + b"abc" + b"\x03\x00" + bytes([0x30]) + b"xyz"
     assert binary.lz4_block(literal) == b"abc" + b"abcab" + b"xyz"
