@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -37,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in `spark.checkpoint.dir`; where that is unset (tests, one machine), a temporary one. On a cluster it must be set."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("keystrata.shared.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("intermediate tables need a folder that all executors see: set spark.checkpoint.dir")
         at = "file://" + tempfile.mkdtemp(prefix="keystrata-")
         spark.conf.set("keystrata.shared.dir", at)
