@@ -63,11 +63,11 @@ def evict(state: DataFrame, policy: str, max_keys: int | None = None, seed: int
     size = F.lit(0) if max_bytes is None else entry_size(state) if size is None else size
     held = materialize(state.select("*", lead.alias("lead"), F.coalesce(may, F.lit(False)).alias("may") if may is not None else F.lit(True).alias("may"), size.cast("long").alias("size")), "evict")
     names = state.columns
-    over = held.groupBy("db").agg(F.count("*").alias("keys"), F.sum("size").alias("bytes"))
+    of = F.when(F.col("may"), F.col("lead"))
+    over = held.groupBy("db").agg(F.count("*").alias("keys"), F.sum("size").alias("bytes"), F.min(of).alias("lo"), F.max(of).alias("hi"))
     rows = held.where("may")
     if max_bytes is None:
-        need = over.select("db", (F.col("keys") - max_keys).alias("need")).where("need > 0")
-        cut = rows.groupBy("db").agg(F.min("lead").alias("lo"), F.max("lead").alias("hi")).join(need, "db")
+        cut = over.select("db", "lo", "hi", (F.col("keys") - max_keys).alias("need")).where("need > 0 AND lo IS NOT NULL")
         cut = materialize(_narrowed(rows, _narrowed(rows, cut)), "evict-cut")
         asked = rows.join(F.broadcast(cut), "db").where(F.col("lead") <= F.col("hi"))
         whole = asked.where(F.col("lead") < F.col("lo"))
