@@ -18,7 +18,6 @@ from keystrata.functions.glob import glob_to_regex
 from keystrata.functions.numbers import human_size, plain_float
 from keystrata.functions.slots import CRC16, SLOTS
 from keystrata.operators import prefix
-from keystrata.operators.reads import small
 from keystrata.session import ship
 from keystrata.sources.resp import Error, Status
 
@@ -734,6 +733,8 @@ KEYED = {n.encode() for n in (*ONE_KEY, "MGET", "MSET", "DEL", "UNLINK", "EXISTS
 READS = {b"GET", b"MGET", b"EXISTS", b"TYPE", b"STRLEN", b"GETRANGE", b"TTL", b"PTTL"}
 PUBSUB = "PUBLISH SUBSCRIBE PSUBSCRIBE UNSUBSCRIBE PUNSUBSCRIBE".split()
 NO_KEY = "PING ECHO TIME READONLY READWRITE WAIT COMMAND DUMP DEBUG RESTORE CONFIG".split()
+#: Databases that are named in the plan; more are joined.
+MOST_DBS = 1_000
 REPLY = "seq long, kind string, str string, int long, bulk binary, items array<binary>"
 
 
@@ -775,11 +776,15 @@ def replay(commands: DataFrame, max_keys: int | None = None, *, max_bytes: int |
         valid = is_("SELECT") & (F.expr("cast(get(args, 0) as string)").rlike(r"^[+-]?[0-9]+$")) & chosen.between(0, DATABASES - 1)
         c = prefix.last_value(c, ["conn_id"], "seq", chosen, F.coalesce(valid, F.lit(False)), "chosen", before=False)
         c = c.withColumn("db", F.coalesce("chosen", "db")).drop("chosen")
-    linked = F.max(~is_(*ONE_KEY, *NO_KEY, "SELECT", *PUBSUB)) if max_keys is None and max_bytes is None else F.lit(True)
-    links = c.groupBy("db").agg(linked.alias("linked"))
+    if max_keys is not None or max_bytes is not None:
+        c = c.withColumn("linked", F.lit(True))
+    else:
+        links = c.where(~is_(*ONE_KEY, *NO_KEY, "SELECT", *PUBSUB)).select(F.col("db").alias("of")).distinct()
+        dbs = [r[0] for r in links.limit(MOST_DBS + 1).collect()]
+        c = c.withColumn("linked", F.col("db").isin(dbs)) if len(dbs) <= MOST_DBS else c.join(links, F.col("db") == F.col("of"), "left").withColumn("linked", F.col("of").isNotNull()).drop("of")
     stream = F.when(F.lit(wide), F.lit("*")).when(is_(*PUBSUB), F.lit("p")).when(F.col("linked"), F.concat(F.lit("d"), F.col("db").cast("string"))).otherwise(
         F.concat(F.lit("k"), F.col("db").cast("string"), F.lit("/"), F.coalesce(F.hex(F.try_element_at("args", F.lit(1))), F.lit(""))))
-    rows = c.join(F.broadcast(links) if small(links, 100_000) else links, "db").withColumn("stream", stream).drop("linked")
+    rows = c.withColumn("stream", stream).drop("linked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, store, now = None, None, 0
