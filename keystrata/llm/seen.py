@@ -32,7 +32,7 @@ WORDS = 8
 SALTS = np.array([0x9E3779B97F4A7C15 + 2 * 0x1F123BB5159A55E5 * i & (1 << 64) - 1 | 1 for i in range(1, WORDS + 1)], dtype=np.uint64)
 FIRST, MAYBE, REPEAT, PROBE_ABSENT, PROBE_HIT = 0, 1, 2, 3, 4
 #: Bounds of what step 3 broadcasts: distinct hashes, and bytes of keys.
-HASHES, BYTES = 2_000_000, 64 << 20
+HASHES, BYTES = 500_000, 16 << 20
 OUT = "bucket int, id long, key binary, verdict byte, blob binary"
 
 
